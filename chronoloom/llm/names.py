@@ -186,7 +186,7 @@ def _typo_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _typo_cost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         cost = [distance(a, b) + distance(c, d) for a, b, c, d in zip(frame["g"], frame["g2"], frame["s"], frame["s2"])]
-        yield frame[["k", "k2"]].assign(cost=cost)
+        yield frame[["k", "k2", "f2", "n2"]].assign(long=frame["g"].str.len() + frame["s"].str.len(), cost=cost)
 
 
 def _mend_marks(readings: DataFrame) -> DataFrame:
@@ -249,18 +249,20 @@ def _people(readings: DataFrame) -> DataFrame:
     keys = keys.join(nick, "k", "left").select(F.coalesce("to", "k").alias("e"), "k", "s", F.when(F.col("to").isNotNull(), F.coalesce("g2", "g")).otherwise(F.col("g")).alias("g"), "f", "n", F.col("to").isNotNull().alias("nick"))
     keys = settle(keys)
     ents = keys.groupBy("e").agg(F.max_by("g", F.struct(~F.col("nick"), "n")).alias("g"), F.max_by("s", F.struct(~F.col("nick"), "n")).alias("s"), F.sum("f").alias("f"), F.sum("n").alias("n"))
-    ents = settle(ents)
+    # an initial form with just this surname attests the surname
+    ini = people.where("initial IS NOT NULL").withColumn("k", F.concat_ws("|", "b", "initial"))
+    ikeys = settle(ini.groupBy("k", "b", "initial").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n")))
+    ents = ents.withColumn("k", F.concat_ws("|", "s", F.substring("g", 1, 1))).join(ikeys.select("k", F.lit(1).alias("one")), "k", "left")
+    ents = settle(ents.select("e", "g", "s", "f", "n", F.col("one").isNotNull().alias("attested")))
 
     # 3. typing errors: a key with a single spelling goes to the nearest better attested key
     typo = _typo_links(ents)
-    ents = ents.join(typo.select(F.col("k").alias("e"), F.col("to").alias("root"), "cost"), "e", "left").withColumn("root", F.coalesce("root", "e"))
+    ents = settle(ents.join(typo.select(F.col("k").alias("e"), F.col("to").alias("root"), "cost"), "e", "left").withColumn("root", F.coalesce("root", "e")))
     roots = settle(ents.where("cost IS NULL").select("e", "g", "s", "f", "n"))
 
     # 4. initials: to the entity with this surname and initial, if one alone
-    ini = people.where("initial IS NOT NULL").withColumn("k", F.concat_ws("|", "b", "initial"))
     blocks = roots.groupBy(F.concat_ws("|", "s", F.substring("g", 1, 1)).alias("k")).agg(F.count(F.lit(1)).alias("c"), F.max("e").alias("to"))
-    ikeys = ini.groupBy("k", "b", "initial").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n"))
-    linked = ikeys.join(blocks, "k", "left")
+    linked = settle(ikeys.join(blocks, "k", "left"))
     # 5. mistyped surnames of initial forms: to one better attested (surname, initial), initial forms included
     targets = linked.select("k", F.col("initial").alias("g"), F.col("b").alias("s"), "f", "n", F.when(F.col("c") == 1, F.col("to")).alias("to"), F.col("c").isNotNull().alias("known"))
     more = roots.select(F.concat_ws("|", "s", F.substring("g", 1, 1)).alias("k"), F.substring("g", 1, 1).alias("g"), "s", (F.col("f") + 1).alias("f"), "n").join(targets.select("k"), "k", "left_anti")
@@ -285,16 +287,17 @@ def _people(readings: DataFrame) -> DataFrame:
 def _typo_links(ents: DataFrame) -> DataFrame:
     """k, to, cost: keys with few spellings and the better attested key they are a mistyping of.
 
-    ``ents``: e (key), g, s (parts), f (distinct spellings), n (occurrences).
+    ``ents``: e (key), g, s (parts), f (distinct spellings), n (occurrences), and attested where other
+    forms show that s is no mistyping.
     """
-    keyed = ents.select(F.col("e").alias("k"), "g", "s", "f", "n")
+    attested = F.col("attested") if "attested" in ents.columns else F.lit(False)
+    keyed = settle(ents.select(F.col("e").alias("k"), "g", "s", "f", "n", attested.alias("attested")))
     forms = keyed.select("k", "g", "s").mapInPandas(_typo_keys, "k string, form string").withColumn("form", F.xxhash64("form"))
     weak = forms.join(keyed.where("f = 1").select("k"), "k", "left_semi")
     pairs = weak.join(forms.select("form", F.col("k").alias("k2")), "form").where("k != k2").select("k", "k2").distinct()
     two = keyed.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("f").alias("f2"), F.col("n").alias("n2"))
-    pairs = pairs.join(keyed, "k").join(two, "k2").where((F.col("f2") > 1) | (F.struct("n2", "k2") > F.struct("n", "k")))
-    costs = pairs.select("k", "k2", "g", "g2", "s", "s2").mapInPandas(_typo_cost, "k string, k2 string, cost double")
-    costs = settle(costs.where("cost <= 2").join(pairs.select("k", "k2", "f2", "n2", (F.length("g") + F.length("s")).alias("long")), ["k", "k2"]))
+    pairs = pairs.join(keyed, "k").join(two, "k2").where((F.col("f2") > 1) | (F.struct("n2", "k2") > F.struct("n", "k"))).where("NOT attested OR s = s2")
+    costs = settle(pairs.select("k", "k2", "g", "g2", "s", "s2", "f2", "n2").mapInPandas(_typo_cost, "k string, k2 string, f2 bigint, n2 bigint, long int, cost double").where("cost <= 2"))
     best = Window.partitionBy("k").orderBy("cost", F.desc("f2"), F.desc("n2"), "k2")
     one = costs.where("cost <= 1").withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost")
     # what others are a mistyping of is attested by them; only the rest may be two edits from its key
@@ -303,10 +306,10 @@ def _typo_links(ents: DataFrame) -> DataFrame:
     far = far.withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost")
     chosen = settle(one.unionByName(far))
     # a target that itself goes elsewhere hands on its own target, twice
+    step = chosen.select(F.col("k").alias("to"), F.col("to").alias("next"))
     for _ in range(3):
-        step = chosen.select(F.col("k").alias("to"), F.col("to").alias("next"))
         chosen = chosen.join(step, "to", "left").select("k", F.coalesce("next", "to").alias("to"), "cost")
-    return chosen.where("k != to")
+    return settle(chosen.where("k != to"))
 
 
 def _organisations(readings: DataFrame) -> DataFrame:
@@ -323,7 +326,7 @@ def _organisations(readings: DataFrame) -> DataFrame:
     # rewritings of complete names: one own word, alone or with the initials of the others in their order;
     # a form shared only by a name and its own mistypings is still rare, so only roots count
     root = typo.select("k", F.col("to").alias("r"))
-    own = complete.select("k").join(root, "k", "left").select("k", F.coalesce("r", "k").alias("r"), F.col("r").isNotNull().alias("slip"))
+    own = settle(complete.select("k").join(root, "k", "left").select("k", F.coalesce("r", "k").alias("r"), F.col("r").isNotNull().alias("slip")))
     base = complete.join(own.where("NOT slip").select("k"), "k", "left_semi")
     words = base.select("k", "w", F.explode(F.array_distinct(F.array_except("w", form))).alias("own"))
     others = F.filter("w", lambda z: z != F.col("own"))
