@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_neighbours", "q_tokens", "q_splitting", "q_names", "q_matching", "q_scans")
+MODULES = ("q_names", "q_splitting", "q_matching", "q_scans", "q_neighbours", "q_tokens", "q_mixing", "q_levels")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
