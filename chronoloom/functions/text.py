@@ -74,14 +74,12 @@ def cache_key(prompt: Column, model: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Lower case, cut at all but letters, numbers and apostrophes, over one byte, without stop words."""
-    stop = array_of(STOP_WORDS)
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda w: (F.octet_length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def note_keywords(text: Column) -> Column:
     """Distinct words of over three bytes in order of first sight, without stop words, at most 20."""
-    stop = array_of(NOTE_STOP_WORDS)
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) > 3) & ~F.array_contains(stop, w))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) > 3) & ~w.isin(NOTE_STOP_WORDS))
     return F.slice(F.array_distinct(words), 1, 20)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as T
@@ -48,21 +49,29 @@ def _is(term: str):
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score; a term repeated in the query counts as often.
 
-    One scan: the tokens are cut once, the corpus statistics are aggregates of that pass, and only documents
-    with a query term are scored.
+    One scan: tokens are cut once; while the documents with a query term go to the shared folder, the pass
+    itself observes the corpus statistics, which then are literals of the score.
     """
+    from chronoloom.session import settle
+
     terms = {t: query.count(t) for t in query}
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key), T.bm25_tokens(F.col(text)).alias("ws"))
     tf = [F.size(F.filter("ws", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     rows = rows.select(key, F.size("ws").alias("dl"), *tf)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
+    seen = Observation()
+    counts = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
+    hit = F.lit(False)
+    for i in range(len(terms)):
+        hit = hit | (F.col(f"tf{i}") > 0)
+    rows = settle(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *counts).where(hit))
+    stats = seen.get
+    n, avgdl = stats.get("n") or 0, max(stats.get("avgdl") or 0.0, 1.0)
     score = F.lit(0.0)
     for i, times in enumerate(terms.values()):
-        tf_, df_ = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log((F.col("n") - df_ + 0.5) / (df_ + 0.5) + 1.0)
-        score = score + times * idf * tf_ * (k1 + 1) / (tf_ + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    out = joined.select(key, score.alias("score")).where("score > 0")
+        tf_, df_ = F.col(f"tf{i}"), stats.get(f"df{i}") or 0
+        idf = math.log((n - df_ + 0.5) / (df_ + 0.5) + 1.0)
+        score = score + times * idf * tf_ * (k1 + 1) / (tf_ + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
+    out = rows.select(key, score.alias("score")).where("score > 0")
     return out if k is None else out.orderBy(F.desc("score"), key).limit(k)
 
 
