@@ -295,8 +295,10 @@ def _typo_links(ents: DataFrame) -> DataFrame:
     forms = keyed.select("k", "g", "s").mapInPandas(_typo_keys, "k string, form string").withColumn("form", F.xxhash64("form"))
     weak = forms.join(keyed.where("f = 1").select("k"), "k", "left_semi")
     pairs = weak.join(forms.select("form", F.col("k").alias("k2")), "form").where("k != k2").select("k", "k2").distinct()
-    two = keyed.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("f").alias("f2"), F.col("n").alias("n2"))
-    pairs = pairs.join(keyed, "k").join(two, "k2").where((F.col("f2") > 1) | (F.struct("n2", "k2") > F.struct("n", "k"))).where("NOT attested OR s = s2")
+    two = keyed.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("f").alias("f2"), F.col("n").alias("n2"), F.col("attested").alias("attested2"))
+    weight, weight2 = F.col("f") + F.col("attested").cast("int"), F.col("f2") + F.col("attested2").cast("int")
+    better = (F.col("f2") > 1) | (weight2 > weight) | ((weight2 == weight) & (F.struct("n2", "k2") > F.struct("n", "k")))
+    pairs = pairs.join(keyed, "k").join(two, "k2").where(better).where("NOT attested OR s = s2")
     costs = settle(pairs.select("k", "k2", "g", "g2", "s", "s2", "f2", "n2").mapInPandas(_typo_cost, "k string, k2 string, f2 bigint, n2 bigint, long int, cost double").where("cost <= 2"))
     best = Window.partitionBy("k").orderBy("cost", F.desc("f2"), F.desc("n2"), "k2")
     one = costs.where("cost <= 1").withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost")
