@@ -430,3 +430,66 @@ def _(spark, d):
 @query("message_episodes", "SELECT CAST(doc_id AS VARCHAR) AS id, strlen(source || ': ' || lang) AS bytes FROM documents WHERE source = 'chat_log' AND lang IS NOT NULL")
 def _(spark, d):
     return readers.message_episodes(load(spark, d, "documents").where("source = 'chat_log' AND lang IS NOT NULL"), "source", "lang", "doc_id").select("id", F.octet_length("content").alias("bytes"))
+
+
+# --- notes and the facade
+
+
+def _notes(spark, d):
+    from chronoloom.operators import notes as N
+
+    return N, N.notes(V.memory(spark, d).where("tier IN ('working', 'procedural')"))
+
+
+@query("note_strength", f"WITH {MEM} SELECT id, least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) AS strength FROM mem WHERE content IS NOT NULL AND tier IN ('working', 'procedural')")
+def _(spark, d):
+    return _notes(spark, d)[1].select("id", "strength")
+
+
+@query("note_links")
+def _(spark, d):
+    N, rows = _notes(spark, d)
+    return N.keyword_links(rows).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("note_growth")
+def _(spark, d):
+    N, rows = _notes(spark, d)
+    return N.grow(rows, N.keyword_links(rows)).select("id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("note_search")
+def _(spark, d):
+    N, rows = _notes(spark, d)
+    return N.search(rows, N.keyword_links(rows), "review the ranking function", 20)
+
+
+@query("note_retention", f"WITH {MEM} SELECT id, round(exp(-floor((epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)), 6) AS retention FROM mem WHERE content IS NOT NULL AND tier IN ('working', 'procedural') AND exp(-floor((epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)) >= 0.000001")
+def _(spark, d):
+    N, rows = _notes(spark, d)
+    last = V.memory(spark, d).select("id", F.col("last_accessed").alias("at"))
+    return N.retained(rows, last, D.ts("2024-02-01"), 0.000001).select("id", F.round("retention", 6).alias("retention"))
+
+
+def _engine(spark, d):
+    from chronoloom.engine import Engine
+
+    return Engine(spark, V.entities(spark, d).select("id", "name", "entity_type", "summary", "created_at", "updated_at"), V.relationships(spark, d))
+
+
+@query("engine_search")
+def _(spark, d):
+    return _engine(spark, d).search("institute of network science", 15).select("id", F.round("score", 6).alias("score"), "sources")
+
+
+@query("engine_context")
+def _(spark, d):
+    return _engine(spark, d).context("institute of network science", 500)
+
+
+@query("engine_time_travel", f"WITH {ENT}, {REL} SELECT 'entities' AS kind, count(*) AS n FROM ent WHERE created_at <= TIMESTAMP '2019-03-01' UNION ALL SELECT 'relationships', count(*) FROM rel WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '2019-03-01') AND (valid_until IS NULL OR TIMESTAMP '2019-03-01' < valid_until)")
+def _(spark, d):
+    from chronoloom.operators.store import stats
+
+    then = _engine(spark, d).at("March 2019")
+    return stats({"entities": then.entities, "relationships": then.relationships})
