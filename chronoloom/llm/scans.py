@@ -250,7 +250,7 @@ def read_pages(chunks: DataFrame) -> DataFrame:
     """Pages of scanned papers with their headers, page numbers and body lines: id, paper, page, header, number, body, blank."""
     seen = settle(scanned_pages(chunks).mapInPandas(_first_look, "id string, paper string, page int, text string, edge array<string>, offsets array<int>, title string, author string"))
     often = seen.select("paper", "id", F.explode(F.array_distinct("edge")).alias("k")).groupBy("paper", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    often = often.groupBy("paper").agg(F.slice(F.collect_list("k"), 1, 50).alias("headers"))
+    often = often.groupBy("paper").agg(F.collect_list("k").alias("headers"))
     votes = seen.select("paper", F.explode(F.array_distinct("offsets")).alias("o")).groupBy("paper", "o").agg(F.count(F.lit(1)).alias("c"))
     votes = votes.groupBy("paper").agg(F.max_by("o", F.struct("c", -F.abs("o"))).alias("offset"))
     heads = seen.groupBy("paper").agg(F.min_by(F.struct("page", "title", "author"), F.struct("page", "id")).alias("h"))
