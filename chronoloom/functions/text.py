@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,3 +169,35 @@ def count_contained(text: Column, words: list[str]) -> Column:
     for w in words:
         out = out + F.when(text.contains(w), 1).otherwise(0)
     return out
+
+
+#: Places, words beside a place, endings of organisations, months, and words beside a person.
+PLACES = "new york|san francisco|sf|nyc|london|paris|tokyo|los angeles|la|chicago|boston|seattle|berlin|beijing|shanghai|mumbai|delhi|bangalore|usa|us|uk|india|china|japan|france|germany".split("|")
+PLACE_WORDS = "city country state town village island mountain river lake ocean street avenue".split()
+FIRM_ENDINGS = "Inc Corp LLC Ltd Co Company Foundation University Institute Association Group Labs".split()
+FIRM_LEADS = ["works at", "joined", "founded", "left", "ceo of"]
+MONTHS = "january february march april may june july august september october november december".split()
+PERSON_WORDS = "works lives born married moved said joined founded ceo mr. mrs. dr. prof.".split()
+#: Words of a question that name nothing.
+QUESTION_STOP = (
+    "what is the a an of in to for and or how does do are was were been be can could would should will did has have had about tell me explain describe show "
+    "find search between from with by at on it this that these those all related connected links only just my"
+).split()
+
+
+def infer_entity_type(name: Column, context: Column) -> Column:
+    """Location, Organization, Date, Person or Entity by the first rule that holds for a name in its context."""
+    n, c = F.lower(name), F.lower(context)
+    near = lambda *parts: c.contains(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    any_ = lambda conds: reduce(or_, conds)
+    place = n.isin(PLACES) | any_([near(n, f" {w}") | near(n, f" is a {w}") for w in PLACE_WORDS]) | any_([near(f"{w} ", n) for w in ("in", "to", "from")])
+    firm = any_([name.endswith(s) for s in FIRM_ENDINGS]) | any_([near(f"{w} ", n) for w in FIRM_LEADS])
+    date = any_([n.contains(m) for m in MONTHS]) | name.rlike(r"^[0-9/-]*$")
+    person = any_([near(n, f" {w}") | near(f"{w} ", n) for w in PERSON_WORDS])
+    return F.when(place, "Location").when(firm, "Organization").when(date, "Date").when(person, "Person").otherwise("Entity")
+
+
+def question_words(question: Column) -> Column:
+    """Words of over two bytes, trimmed of what isn't a letter or number, that may name something."""
+    bare = F.transform(words_of(question), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(bare, lambda w: (F.octet_length(w) > 2) & ~w.isin(QUESTION_STOP))

@@ -202,3 +202,53 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(key, F.explode(F.split(tail, r"\n(?=\s*(?:\[|\d+\.\s))")).alias("raw")).withColumn("raw", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("length(raw) > 10")
     r = F.col("raw")
     return rows.select(key, "raw", T.reference_title(r).alias("title"), T.extract_year(r).alias("year"), T.extract_doi(r).alias("doi"), T.extract_arxiv(r).alias("arxiv"))
+
+
+def chunk_sentences(df: DataFrame, key: str, text: str, tokens: int = 128) -> DataFrame:
+    """key, chunk, piece: sentences (ended by . ! ? or a line) packed up to 4 x tokens bytes, joined by ". "."""
+    parts = F.filter(F.transform(F.split(F.col(text), r"[.!?\n]"), lambda s: F.trim(s)), lambda s: s != "")
+    size = 4 * tokens
+    fold = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.octet_length(F.element_at(acc, -1)) + 2 + F.octet_length(s) <= size), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(". "), s)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(fold).alias("chunk", "piece"))
+
+
+def chunk_sections(df: DataFrame, key: str, text: str, limit: int = 512, least: int = 50) -> DataFrame:
+    """key, section, chunk, piece, words: paragraphs of each section packed to ``limit`` words, each piece after the
+    first starting with the last sentence before it; a small last piece joins the one before where it fits."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, n, body in zip(frame["k"], frame["section"], frame["body"]):
+                pieces: list[list[str]] = []
+                current: list[str] = []
+                fresh = 0  # words of current beyond the overlap
+                for paragraph in [p.split() for p in re.split(r"\n\s*\n", body) if p.strip()]:
+                    while paragraph:
+                        room = limit - len(current)
+                        if fresh and len(paragraph) > room:
+                            pieces.append(current)
+                            tail = split_sentences(" ".join(current))[-1].split()
+                            current, fresh = (tail if len(tail) <= limit // 4 else []), 0
+                            continue
+                        current, fresh = current + paragraph[:room], fresh + min(room, len(paragraph))
+                        paragraph = paragraph[room:]
+                if fresh:
+                    if pieces and fresh < least and len(pieces[-1]) + fresh <= limit:
+                        pieces[-1] = pieces[-1] + current[len(current) - fresh :]
+                    else:
+                        pieces.append(current)
+                out += [(k, n, i, " ".join(p), len(p)) for i, p in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=[key, "section", "chunk", "piece", "words"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return sections(df, key, text).withColumnRenamed(key, "k").mapInPandas(run, f"{key} {kind}, section int, chunk int, piece string, words int")
+
+
+def ontology_prompt(entity_types: list[tuple[str, str]], relation_types: list[tuple[str, str]]) -> str:
+    """Types with their descriptions as markdown for an extraction prompt."""
+    part = lambda title, rows: [f"## {title}", *[f"- **{n}**: {d}" for n, d in rows], ""] if rows else []
+    return "\n".join([*part("Entity types", entity_types), *part("Relationship types", relation_types)])

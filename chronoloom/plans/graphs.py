@@ -493,3 +493,38 @@ def _(spark, d):
 
     then = _engine(spark, d).at("March 2019")
     return stats({"entities": then.entities, "relationships": then.relationships})
+
+
+# --- agent steps
+
+
+@query("traversal_channel", f"WITH RECURSIVE {SMALL}, {BOTH}, h(id, d) AS (SELECT 'nation:3', 0 UNION SELECT u.b, h.d + 1 FROM h JOIN u ON u.a = h.id WHERE h.d < 2), m AS (SELECT id, min(d) AS d FROM h GROUP BY id HAVING min(d) > 0) SELECT id, round(1e0 / (1e0 + 0.3e0 * (row_number() OVER (ORDER BY d, id) - 1)), 6) AS score FROM m ORDER BY d, id LIMIT 25")
+def _(spark, d):
+    from chronoloom.operators.agent import traversal_hits
+
+    return traversal_hits(both(V.small_graph(spark, d)), "nation:3", 2, 25).select("id", F.round("score", 6).alias("score"))
+
+
+@query("connections", f"WITH {SMALL} SELECT 'supplier:1' AS id, 2 AS hops UNION ALL SELECT 'nation:' || s_nationkey, 2 FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT 'region:' || n_regionkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 1")
+def _(spark, d):
+    from chronoloom.operators.agent import find_connections
+
+    s = load(spark, d, "supplier").where("s_suppkey = 1").join(load(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).first()
+    return find_connections(both(V.small_graph(spark, d)), "supplier:1", f"region:{s['n_regionkey']}", 2)
+
+
+@query("ann_search")
+def _(spark, d):
+    from chronoloom.operators.ann import ProjectionIndex
+
+    e = load(spark, d, "embeddings")
+    index = ProjectionIndex(64)
+    return index.search(index.build(e, "vec_id", "embedding"), e.where("vec_id = 0").first()["embedding"], 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("answer_report", f"""WITH {ENT}, j AS (SELECT entity_type AS question_type, lower(trim(coalesce(summary, ''))) AS p, lower(trim(name)) AS t FROM ent WHERE entity_type IS NOT NULL) SELECT question_type, count(*) AS n, round(avg(CASE WHEN p = '' THEN 0e0 WHEN contains(p, t) OR contains(t, p) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM j GROUP BY ROLLUP (question_type)""")
+def _(spark, d):
+    from chronoloom.operators.agent import evaluate
+
+    e = V.entities(spark, d).where("entity_type IS NOT NULL").select(F.col("entity_type").alias("question_type"), F.coalesce("summary", F.lit("")).alias("predicted"), F.col("name").alias("truth"), F.lit(0.0).alias("latency"))
+    return evaluate(e).select("question_type", "n", F.round("accuracy", 6).alias("accuracy"))

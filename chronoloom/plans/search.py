@@ -412,3 +412,42 @@ def _(spark, d):
 def _(spark, d):
     x = docs(spark, d).where("n_chars > 0 AND group_id IS NOT NULL").select("group_id", F.col("doc_id").alias("id"), F.ceil(F.col("n_chars") / 4.0).alias("size"), F.col("n_chars").cast("double").alias("score"))
     return M.knapsack(x, "group_id", 2000)
+
+
+def _type_sql() -> str:
+    any_ = lambda conds: "(" + " OR ".join(conds) + ")"
+    near = lambda a: f"contains(c, {a})"
+    place = any_([f"n IN ({', '.join(repr(p) for p in T.PLACES)})", *[near(f"n || ' {w}'") for w in T.PLACE_WORDS], *[near(f"n || ' is a {w}'") for w in T.PLACE_WORDS], *[near(f"'{w} ' || n") for w in ("in", "to", "from")]])
+    firm = any_([*[f"ends_with(name, '{s}')" for s in T.FIRM_ENDINGS], *[near(f"'{w} ' || n") for w in T.FIRM_LEADS]])
+    date = any_([*[f"contains(n, '{m}')" for m in T.MONTHS], "regexp_full_match(name, '[0-9/-]*')"])
+    person = any_([x for w in T.PERSON_WORDS for x in (near(f"n || ' {w}'"), near(f"'{w} ' || n"))])
+    return f"WITH {ENT}, x AS (SELECT id, name, lower(name) AS n, lower(coalesce(summary, '')) AS c FROM ent WHERE name IS NOT NULL) SELECT id, CASE WHEN {place} THEN 'Location' WHEN {firm} THEN 'Organization' WHEN {date} THEN 'Date' WHEN {person} THEN 'Person' ELSE 'Entity' END AS type FROM x"
+
+
+@query("inferred_types", _type_sql())
+def _(spark, d):
+    return V.entities(spark, d).where("name IS NOT NULL").select("id", T.infer_entity_type(F.col("name"), F.coalesce("summary", F.lit(""))).alias("type"))
+
+
+_QS = "[" + ", ".join(f"'{w}'" for w in T.QUESTION_STOP) + "]"
+
+
+@query("question_words", f"WITH x(question) AS (VALUES {_A}) SELECT question, array_to_string(list_filter(list_transform(list_filter(string_split_regex(question, '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: strlen(w) > 2 AND NOT list_contains({_QS}, w)), ' ') AS words FROM x")
+def _(spark, d):
+    return _asked(spark).select("question", F.array_join(T.question_words(F.col("question")), " ").alias("words"))
+
+
+@query("sentence_chunks")
+def _(spark, d):
+    return X.chunk_sentences(docs(spark, d), "doc_id", "text", 64)
+
+
+@query("section_chunks")
+def _(spark, d):
+    return X.chunk_sections(docs(spark, d).where("source IN ('wiki_page', 'manual')"), "doc_id", "text", 120)
+
+
+@query("packed_context")
+def _(spark, d):
+    hits = R.bm25(docs(spark, d), "doc_id", "text", WORDS, 40).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return R.rag_context(hits.select(F.lit("memory graph evidence").alias("query"), F.col("doc_id").alias("id"), "text", "score"), 2000, 40)

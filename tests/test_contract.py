@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from chronoloom.plans import all_oracles, all_queries  # noqa: E402
 from verify import normal  # noqa: E402
 
-SLOW = {"ppr_20", "streamed_tiers", "ingested_counts"}
+SLOW = {"ppr_20", "streamed_tiers", "ingested_counts", "note_search", "note_growth"}
 
 
 @pytest.fixture(scope="session")

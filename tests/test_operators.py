@@ -165,3 +165,44 @@ def test_routing(spark):
     assert one(spark, Q.intent(F.lit("zzz"))) == "exploratory"
     assert one(spark, Q.judge(F.lit("I don't know"), F.lit(""))) is True
     assert len(Q.ABLATIONS) == 9
+
+
+def test_projection_index(spark):
+    import numpy as np
+
+    from chronoloom.operators.ann import ProjectionIndex
+
+    r = np.random.default_rng(0)
+    centres = r.standard_normal((20, 16))
+    rows = [(i, (centres[i % 20] + 0.2 * r.standard_normal(16)).tolist()) for i in range(600)]
+    d = spark.createDataFrame([*rows, (900, None), (901, [1.0]), (902, [0.0] * 16)], "id int, v array<double>")
+    index = ProjectionIndex(16)
+    table = index.build(d, "id", "v")
+    assert table.count() == 600
+    x = np.array([v for _, v in rows])
+    want = set(np.argsort(-(x @ x[0]) / np.linalg.norm(x, axis=1))[:10].tolist())
+    got = {row["id"] for row in index.search(table, rows[0][1], 10).collect()}
+    assert len(got & want) >= 9
+    smaller = index.remove(table, d.where("id = 0"))
+    assert 0 not in {row["id"] for row in index.search(smaller, rows[0][1], 10).collect()}
+    assert index.add(smaller, d.where("id IN (0, 1)"), "id", "v").count() == 600
+
+
+def test_chunkers(spark):
+    d = spark.createDataFrame([(1, "Introduction\n" + "One two three four five. " * 60 + "\n\n" + "Six seven eight nine. " * 5), (2, None), (3, "word " * 700), (4, "")], "id int, text string")
+    got = X.chunk_sections(d, "id", "text", 100).collect()
+    assert all(r["words"] <= 100 for r in got) and {r["id"] for r in got} == {1, 3}
+    assert all(r["piece"].startswith("One two three four five.") for r in got if r["id"] == 1 and 0 < r["chunk"] < 3)
+    pieces = [r["piece"] for r in X.chunk_sentences(d.where("id = 1"), "id", "text", 16).collect()]
+    assert all(len(p.encode()) <= 64 for p in pieces)
+
+
+def test_agent(spark, tmp_path):
+    from chronoloom.operators import agent as A
+
+    A.save_history(spark, [("user", "a"), ("assistant", "b")], str(tmp_path / "h"))
+    assert A.load_history(spark, str(tmp_path / "h")) == [("user", "a"), ("assistant", "b")]
+    messages = A.prompt("q?", ["c"], [("user", str(i)) for i in range(9)])
+    assert len(messages) == 7 and messages[-1]["content"].endswith("q?")
+    both = views.both_ways(edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("b", "x")]))
+    assert {r["id"] for r in A.find_connections(both, "a", "c", 2).collect()} == {"a", "b", "c"}
