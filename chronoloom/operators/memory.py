@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scores
 from chronoloom.functions import text as T
+from chronoloom.session import settle
 
+#: Vectors of a block and of a tile of near_pairs; the largest error of a cosine in single precision, with room.
+BLOCK, TILE, UNSURE = 12_288, 2048, 1e-5
 #: What a hit in each tier counts in search.
 TIER_WEIGHTS = {"working": 4.0, "episodic": 2.0, "semantic": 1.5, "procedural": 1.0}
 
@@ -90,26 +94,87 @@ def learn(log: DataFrame, alpha: float = 0.1, gamma: float = 0.9) -> DataFrame:
     return log.groupBy("state").applyInPandas(run, "state string, q_keep double, q_forget double")
 
 
-def consolidate(items: DataFrame, group: str, threshold: float = 0.95) -> DataFrame:
-    """id, into: near copies within a group (such as a session) merge into the more important one, greedily.
-
-    ``items``: id, v, importance, access_count and the group column; a removed item is compared no more.
+def _near(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """One pair of blocks: a < b with a cosine above the threshold; found in single, settled in double precision."""
+
+    def run(block: pa.Table) -> pa.Table:
+        r, blk = block.column("r").to_numpy(), block.column("blk").to_numpy()
+        v = block.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(r), -1)
+        x /= np.abs(x).max(axis=1)[:, None]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        y, a, b, c = x.astype(np.float32), [], [], []
+        for at in range(0, len(left), TILE):
+            for to in range(0 if i != j else at, len(right), TILE):
+                p, q = np.nonzero(y[left[at : at + TILE]] @ y[right[to : to + TILE]].T > threshold - UNSURE)
+                p, q = left[at + p], right[to + q]
+                if i == j:
+                    p, q = p[p < q], q[p < q]
+                exact = np.einsum("nd,nd->n", x[p], x[q])
+                ok = exact > threshold
+                a.append(np.minimum(r[p], r[q])[ok])
+                b.append(np.maximum(r[p], r[q])[ok])
+                c.append(exact[ok])
+        empty = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty), "c": np.concatenate(c or empty).astype(np.float64)})
+
+    return run
+
+
+def near_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a < b, c: all pairs of vectors (r, g, v) of one g and one length whose cosine is above the threshold.
+
+    Exact: vectors are spread over blocks of about ``block`` by hash, and each pair of blocks is one task of
+    matrix products, so time grows with the square of the rows and memory doesn't.
     """
+    sized = vectors.withColumn("dim", F.size("v"))
+    n = sized.groupBy("g", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    spread = sized.join(n, ["g", "dim"]).withColumn("blk", F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int"))
+    sent = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("g", "dim", F.least("blk", "to").alias("i"), F.greatest("blk", "to").alias("j"), "r", "blk", "v")
+    return sent.groupBy("g", "dim", "i", "j").applyInArrow(_near(threshold), "a bigint, b bigint, c double")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["importance", "id"], ascending=[False, True])
-        ids, kept, out = frame["id"].tolist(), [], []
-        x = np.array(frame["v"].tolist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1)[:, None], 1e-300)
-        for i, id_ in enumerate(ids):
-            s = x[kept] @ x[i] if kept else np.zeros(0)
-            if len(s) and s.max() > threshold:
-                out.append((id_, ids[kept[int(s.argmax())]]))
-            else:
-                kept.append(i)
-        return pd.DataFrame(out, columns=["id", "into"])
-
-    return items.groupBy(group).applyInPandas(run, "id string, into string")
+
+def consolidate(items: DataFrame, group: str | None = None, threshold: float = 0.95) -> DataFrame:
+    """id, into: near copies merge into the more important one (then the smaller id), greedily: in that order an
+    item goes to the most similar of the kept ones before it, if any is above the threshold, or else is kept.
+
+    ``items``: id, v, importance and the group column, if only items of one group may merge (such as a
+    session).  Items of unknown importance come last.  Only vectors of one length are compared; those that
+    are null, empty, zero or not finite take no part.
+
+    Plan: rows are numbered in order; copies are one vector with its first number; all pairs are found block
+    by block; each round keeps what has no open neighbour before it and removes what is near that.
+    """
+    usable = "v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x != 0)"
+    last = F.when(F.col("importance").isNull() | F.isnan(F.col("importance").cast("double")), float("inf")).otherwise(F.lit(0.0) - F.col("importance"))
+    rows = items.where(usable).select("id", "v", (F.col(group) if group else F.lit("")).alias("g"), last.alias("o"))
+    rows = rows.withColumn("g", F.coalesce(F.col("g").cast("string"), F.lit("")))
+    rows = settle(rows.orderBy("o", "id").select("id", "g", "v", F.monotonically_increasing_id().alias("r")))
+    vectors = rows.groupBy("g", "v").agg(F.min("r").alias("first"))
+    members = settle(rows.join(vectors, ["g", "v"]).select("id", "r", "first"))
+    pairs = settle(near_pairs(rows.join(members.where("r = first").select("r"), "r", "left_semi"), threshold))
+
+    open_, gone = pairs.select("a", "b"), None
+    while not open_.isEmpty():
+        kept = open_.select("a").join(open_.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        new = settle(open_.join(kept, "a", "left_semi").select(F.col("b").alias("x")).distinct())
+        gone = new if gone is None else gone.unionByName(new)
+        left = open_.join(kept, "a", "left_anti").join(new.select(F.col("x").alias("a")), "a", "left_anti")
+        open_ = settle(left.join(new.select(F.col("x").alias("b")), "b", "left_anti").select("a", "b"))
+
+    copies = members.where("r != first")
+    if gone is None:
+        into = copies.select("r", F.col("first").alias("k"))
+    else:
+        both = pairs.select(F.col("a").alias("first"), F.col("b").alias("k"), "c").unionByName(pairs.select(F.col("b").alias("first"), F.col("a").alias("k"), "c"))
+        both = both.join(gone.select(F.col("x").alias("first")), "first", "left_semi").join(gone.select(F.col("x").alias("k")), "k", "left_anti")
+        near = members.join(both, "first").where("k < r").groupBy("r").agg(F.min(F.struct((-F.round("c", 12)).alias("m"), "k")).alias("z")).select("r", "z.k")
+        into = near.unionByName(copies.join(gone.select(F.col("x").alias("first")), "first", "left_anti").select("r", F.col("first").alias("k")))
+    name = members.select("r", "id")
+    return into.join(name, "r").select("id", "k").join(name.select(F.col("r").alias("k"), F.col("id").alias("into")), "k").select("id", "into")
 
 
 def link_notes(pairs: DataFrame, least: float = 0.7, most: int = 10) -> DataFrame:

@@ -321,8 +321,7 @@ def _(spark, d):
 
 @query("cosine_consolidate")
 def _(spark, d):
-    m = V.memory(spark, d).where("size(embedding) = 64").select("id", F.col("embedding").alias("v"), "importance", "access_count", F.concat_ws("|", "tier", F.date_format("created_at", "yyyy-MM")).alias("month"))
-    return M.consolidate(m, "month", 0.9)
+    return M.consolidate(V.memory(spark, d).select("id", F.col("embedding").alias("v"), "importance"), threshold=0.9)
 
 
 @query("memory_by_session", f"WITH {MEM} SELECT metadata['session'] AS session, count(*) AS n FROM mem WHERE metadata['session'] IS NOT NULL GROUP BY 1")
