@@ -1,4 +1,4 @@
-"""Approximate search for one vector: an index of random projections over the normalised vectors, kept as a table.
+"""Approximate search: an index of random projections over the normalised vectors, kept as a table.
 
 The index is data, not a structure in a process: rows are added by union, removed by anti join, and stored in Parquet.
 """
@@ -11,20 +11,29 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import vectors as V
 
 
 class ProjectionIndex:
-    """``tables`` hash tables of ``bits`` sign projections; a query looks into the buckets within ``flips`` bits of its own."""
+    """``tables`` hash tables of ``bits`` sign projections; a query looks into ``probes`` buckets of each: its own and
+    those behind the planes it is nearest to (least sum of squared margins)."""
 
-    def __init__(self, dim: int, tables: int = 8, bits: int = 8, flips: int = 1, seed: int = 11):
+    def __init__(self, dim: int, tables: int = 12, bits: int = 8, probes: int = 24, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.dim, self.tables, self.bits, self.flips = dim, tables, bits, flips
+        self.dim, self.tables, self.bits, self.probes = dim, tables, bits, probes
         self.planes = rng.standard_normal((tables, bits, dim))
 
+    def buckets(self, q: np.ndarray) -> np.ndarray:
+        """tables x probes: the buckets that a vector looks into."""
+        planes, at = self.planes @ q, np.arange(self.bits)
+        steps = np.arange(1 << self.bits)
+        cost = planes**2 @ ((steps[:, None] >> at) & 1).T
+        own = ((planes >= 0) * (1 << at)).sum(axis=1)
+        return own[:, None] ^ np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
+
     def build(self, df: DataFrame, key: str, vector: str) -> DataFrame:
         """id, v (normalised) and the bucket of each table; vectors of another length or without direction are left out."""
         planes, dim = self.planes, self.dim
@@ -55,10 +64,24 @@ class ProjectionIndex:
         """id, score: the k most similar of the rows in the query's buckets; the buckets are a filter on the scan."""
         q = np.asarray(query, float)
         q = q / max(float(np.linalg.norm(q)), 1e-300)
-        hit = []
-        for t in range(self.tables):
-            own = sum(1 << i for i, p in enumerate(self.planes[t]) if p @ q >= 0)
-            near = {own} | ({own ^ (1 << i) for i in range(self.bits)} if self.flips else set())
-            hit.append(F.col(f"b{t}").isin(*[int(x) for x in near]))
+        hit = [F.col(f"b{t}").isin(near) for t, near in enumerate(self.buckets(q).tolist())]
         score = V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in q]))
         return index.where(reduce(or_, hit)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+    def search_all(self, index: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+        """query, id, score, rank: the k most similar rows of the index for each query vector."""
+        kind = queries.schema[key].dataType.simpleString()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"query": frame["id"], "hits": [list(enumerate(self.buckets(v).tolist())) for v in frame["v"]]})
+
+        asked = self.build(queries, key, vector).select("id", "v")
+        hits = asked.mapInPandas(run, f"query {kind}, hits array<struct<t: int, near: array<int>>>").select("query", F.explode("hits").alias("h"))
+        hits = hits.select("query", F.col("h.t").alias("t"), F.explode("h.near").alias("b"))
+        rows = index.select("id", F.posexplode(F.array(*[f"b{t}" for t in range(self.tables)])).alias("t", "b"))
+        pairs = rows.join(hits, ["t", "b"]).select("query", "id").distinct()
+        scored = pairs.join(index.select("id", "v"), "id").join(asked.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
+        scored = scored.select("query", "id", V.dot(F.col("v"), F.col("q")).alias("score"))
+        w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id")
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

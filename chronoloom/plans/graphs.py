@@ -518,7 +518,7 @@ def _(spark, d):
 
     e = load(spark, d, "embeddings")
     index = ProjectionIndex(64)
-    return index.search(index.build(e, "vec_id", "embedding"), e.where("vec_id = 0").first()["embedding"], 10).select("id", F.round("score", 6).alias("score"))
+    return index.search_all(index.build(e, "vec_id", "embedding"), e.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("answer_report", f"""WITH {ENT}, j AS (SELECT entity_type AS question_type, lower(trim(coalesce(summary, ''))) AS p, lower(trim(name)) AS t FROM ent WHERE entity_type IS NOT NULL) SELECT question_type, count(*) AS n, round(avg(CASE WHEN p = '' THEN 0e0 WHEN contains(p, t) OR contains(t, p) THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM j GROUP BY ROLLUP (question_type)""")

@@ -48,3 +48,19 @@ def test_near_pairs_of_many_blocks(spark):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = {(a, b) for a, b in zip(*np.nonzero(u @ u.T > 0.9)) if a < b}
     assert {(r["a"], r["b"]) for r in M.near_pairs(df, 0.9, 32).collect()} == want
+
+
+def test_ann_search(spark):
+    d = "/root/testdata/sf0.1"
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in all_queries()["ann_search"](spark, d).collect():
+        got.setdefault(r["query"], set()).add(r["id"])
+    asked = sorted(int(i) for i in ids if i % 100 == 0)
+    assert sorted(got) == asked
+    want = {q: set(ids[np.argsort(-(x @ x[ids == q][0]), kind="stable")[:10]].tolist()) for q in asked}
+    recall = sum(len(got[q] & want[q]) for q in asked) / (10 * len(asked))
+    print("recall", recall)
+    assert recall >= 0.9
