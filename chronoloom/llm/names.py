@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.session import settle
@@ -120,18 +121,52 @@ def distance(a: str, b: str) -> float:
     return last[-1]
 
 
+def deletions(word: str, most: int) -> set[str]:
+    """The word and what is left of it after dropping up to ``most`` letters."""
+    found, edge = {word}, {word}
+    for _ in range(most):
+        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+        found |= edge
+    return found
+
+
+def _index(words: list[str]) -> dict[str, list[int]]:
+    """Words of a fixed list by what is left of them after dropping up to one letter."""
+    found: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        for d in deletions(w, 1):
+            found.setdefault(d, []).append(i)
+    return found
+
+
+_LONG_FORMS = [f for f in _FORM if len(f) > 5]
+_RUN_TOGETHER = [(x, y) for x in FORMS for y in FORMS]
+_NEAR_FORM, _NEAR_RUN = _index(_LONG_FORMS), _index([x + y for x, y in _RUN_TOGETHER])
+_LONGEST = max(map(len, _NEAR_RUN)) + 1
+
+
+@lru_cache(maxsize=500_000)
+def form_of(word: str) -> str:
+    """A plain word in the spelling of its legal form, also where it is one letter off or two forms are run together."""
+    if word in _FORM or not 5 < len(word) <= _LONGEST:
+        return _FORM.get(word, word)
+    left = deletions(word, 1)
+    first = lambda index, name: next((i for i in sorted({i for d in left for i in index.get(d, ())}) if one_edit(name(i), word)), None)
+    if (i := first(_NEAR_FORM, _LONG_FORMS.__getitem__)) is not None:
+        return _FORM[_LONG_FORMS[i]]
+    if len(word) > 10 and (i := first(_NEAR_RUN, lambda i: "".join(_RUN_TOGETHER[i]))) is not None:
+        return " ".join(_RUN_TOGETHER[i])
+    return word
+
+
 def read_organisation(name: str) -> list[str]:
     """The words of an organisation, legal forms in one spelling, without noise."""
-    text = unicodedata.normalize("NFC", name).replace("ReseachCentre", "Research Centre")
+    text = unicodedata.normalize("NFC", name)
     words = []
     for w in re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*", re.sub(r"\b([^\W\d_])\.", r"\1", text)):
         p = plain(w)
-        if p in NOISE:
-            continue
-        form = _FORM.get(p) or next((k for f, k in _FORM.items() if len(f) > 5 and len(p) > 5 and one_edit(f, p)), None)
-        if form is None and len(p) > 10:  # two forms run together
-            form = next((f"{x} {y}" for x in FORMS for y in FORMS if distance(p, x + y) <= 1), None)
-        words += (form or p).split()
+        if p not in NOISE:
+            words += form_of(p).split()
     return words
 
 
@@ -160,13 +195,29 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=columns)
 
 
-def deletions(word: str, most: int) -> set[str]:
-    """The word and what is left of it after dropping up to ``most`` letters."""
-    found, edge = {word}, {word}
-    for _ in range(most):
-        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        found |= edge
-    return found
+#: Words of more letters than this meet over pieces instead of deletions, whose number grows with the square of the length.
+PIECED = 40
+
+
+def edit_keys(word: str, most: int) -> set[str]:
+    """Keys of which any two words within ``most`` edits (1 or 2) share one.
+
+    Short words: symmetric deletion.  Long words: cut into 2 * most + 1 pieces, of which such edits leave one
+    whole (a swap may touch two), each piece also looked for where up to ``most`` letters more or less before
+    it would put it.  Words near PIECED have both kinds, so no pair is lost where the kinds meet.
+    """
+    n, keys = len(word), set()
+    if n <= PIECED + most:
+        keys = deletions(word, most)
+    if n > PIECED - most and most:
+        parts = 2 * most + 1
+        for whole in range(n - most, n + most + 1):
+            cuts = [whole * i // parts for i in range(parts + 1)]
+            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                for shift in range(-most, most + 1):
+                    if 0 <= lo + shift and hi + shift <= n:
+                        keys.add(f"{whole}/{i}/{word[lo + shift : hi + shift]}")
+    return keys
 
 
 def _typo_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,11 +225,11 @@ def _typo_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for k, g, s in zip(frame["k"], frame["g"], frame["s"]):
-            forms = {f"{x}|{y}" for x in deletions(g, 1 if len(g) > 2 else 0) for y in deletions(s, 1)}
+            forms = {f"{x}|{y}" for x in edit_keys(g, 1 if len(g) > 2 else 0) or {g} for y in edit_keys(s, 1)}
             if len(s) > 6:
-                forms |= {f"{g}|{y}" for y in deletions(s, 2)}
+                forms |= {f"{g}|{y}" for y in edit_keys(s, 2)}
             if len(g) > 5:
-                forms |= {f"{x}|{s}" for x in deletions(g, 2)}
+                forms |= {f"{x}|{s}" for x in edit_keys(g, 2)}
             out += [(k, f) for f in forms]
         yield pd.DataFrame(out, columns=["k", "form"])
 
@@ -201,6 +252,15 @@ def _mend_marks(readings: DataFrame) -> DataFrame:
     return people
 
 
+#: What a rewriting is worth where it fits one entity alone.
+_SURE = {"nickname": 0.9, "initial": 0.9, "short form": 0.9}
+
+
+def _score(when: Column, rule: str) -> Column:
+    """The worth of the rule, a tenth less per edit, times the rarity of the mistyping."""
+    return F.when(when, _SURE.get(rule, 1.0)).otherwise(1.0) * F.coalesce((1 - F.col("cost") / 10) * F.col("rarity"), F.lit(1.0))
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """The entity of every distinct name: name, entity, kind ('p' person, 'o' organisation), rule, confidence.
 
@@ -209,12 +269,14 @@ def link_names(names: DataFrame) -> DataFrame:
     nicknames to full given names; full names to initials; legal forms to one spelling; organisations to
     their acronym or bare name; and spellings within a few edits by shared deletions.  A rewriting counts by
     its rarity: initials, bare names and nicknames link only where one entity alone has that form, and a
-    mistyped key links to the nearest better attested one.  confidence is 1 / (entities that share the form),
-    less a tenth per edit.  Null, blank and letterless names, and names that can't be read, get no row.
+    mistyped key links to the nearest better attested one.  confidence is the worth of the rule (1, or 0.9
+    for nicknames, initials and short forms) times its rarity, 1 / (entities that share the form); of a
+    mistyping the target's share of the spellings of all equally near keys, less a tenth per edit.  Null, blank and letterless names, and names that can't be read, get no row.
     Repeated names count once, with their occurrences added up.
 
-    Plan: everything runs on distinct names; forms are exploded in Arrow batches and joined by hash.  Forms
-    shared by many entities are counted before any join on them, so a frequent form never pairs up.
+    Plan: everything runs on distinct names; forms are exploded in Arrow batches and joined by hash.  Initials,
+    bare names and nicknames are counted per form first and joined to that one row, so a frequent form never
+    pairs up; see _typo_links for mistypings.
     """
     names = names.where("name IS NOT NULL").groupBy("name").agg(F.max(F.coalesce("organisation", F.lit(False))).alias("organisation"), F.sum("n").alias("n"))
     readings = settle(names.select("name", "organisation").mapInPandas(_read, READING).join(names.select("name", "n"), "name"))
@@ -257,7 +319,7 @@ def _people(readings: DataFrame) -> DataFrame:
 
     # 3. typing errors: a key with a single spelling goes to the nearest better attested key
     typo = _typo_links(ents)
-    ents = settle(ents.join(typo.select(F.col("k").alias("e"), F.col("to").alias("root"), "cost"), "e", "left").withColumn("root", F.coalesce("root", "e")))
+    ents = settle(ents.join(typo.select(F.col("k").alias("e"), F.col("to").alias("root"), "cost", "rarity"), "e", "left").withColumn("root", F.coalesce("root", "e")))
     roots = settle(ents.where("cost IS NULL").select("e", "g", "s", "f", "n"))
 
     # 4. initials: to the entity with this surname and initial, if one alone
@@ -268,27 +330,35 @@ def _people(readings: DataFrame) -> DataFrame:
     more = roots.select(F.concat_ws("|", "s", F.substring("g", 1, 1)).alias("k"), F.substring("g", 1, 1).alias("g"), "s", (F.col("f") + 1).alias("f"), "n").join(targets.select("k"), "k", "left_anti")
     more = more.groupBy("k", "g", "s").agg(F.sum("f").alias("f"), F.sum("n").alias("n")).select(F.col("k").alias("e"), "g", "s", "f", "n")
     pool = targets.select(F.col("k").alias("e"), "g", "s", (F.col("f") + F.when(F.col("known"), 2).otherwise(0)).alias("f"), "n").unionByName(more)
-    slips = _typo_links(pool).select("k", F.col("to").alias("k2"), "cost")
+    slips = _typo_links(pool).select("k", F.col("to").alias("k2"), "cost", "rarity")
     linked = linked.select("k", "c", "to").join(slips.join(blocks.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("to").alias("to2")), "k2", "left"), "k", "left")
     free = F.col("c").isNull()
     linked = linked.select(
         "k",
         F.when(F.col("c") == 1, F.col("to")).when(free & (F.col("c2") == 1), F.col("to2")).when(free & F.col("k2").isNotNull() & F.col("c2").isNull(), F.concat(F.lit("i:"), "k2")).otherwise(F.concat(F.lit("i:"), "k")).alias("e"),
         F.when(F.col("c") == 1, F.lit("initial")).when(free & F.col("k2").isNotNull(), F.lit("initial, typing")).otherwise(F.lit("initials")).alias("rule"),
-        F.when(F.col("c") == 1, 0.9).when(free & F.col("k2").isNotNull(), 0.7).when(free, 0.9).otherwise(F.lit(1.0) / (F.col("c") + 1)).alias("confidence"),
+        (
+            F.when(F.col("c") > 1, F.lit(1.0) / (F.col("c") + 1))
+            .when(free & F.col("k2").isNotNull(), _SURE["initial"] * (1 - F.col("cost") / 10) * F.col("rarity"))
+            .otherwise(_SURE["initial"])
+        ).alias("confidence"),
     )
     by_initial = ini.join(linked, "k").select("name", F.concat(F.lit("p:"), "e").alias("entity"), F.lit("p").alias("kind"), "rule", "confidence")
-    by_full = full.select("name", "k").join(keys.select("k", "e", "nick"), "k").join(ents.select("e", "root", "cost"), "e")
+    by_full = full.select("name", "k").join(keys.select("k", "e", "nick"), "k").join(ents.select("e", "root", "cost", "rarity"), "e")
     rule = F.when(F.col("cost").isNotNull(), F.lit("typing")).when(F.col("nick"), F.lit("nickname")).otherwise(F.lit("order and marks"))
-    by_full = by_full.select("name", F.concat(F.lit("p:"), "root").alias("entity"), F.lit("p").alias("kind"), rule.alias("rule"), (F.when(F.col("nick"), 0.9).otherwise(1.0) - F.coalesce(F.col("cost") / 10, F.lit(0.0))).alias("confidence"))
+    by_full = by_full.select("name", F.concat(F.lit("p:"), "root").alias("entity"), F.lit("p").alias("kind"), rule.alias("rule"), _score(F.col("nick"), "nickname").alias("confidence"))
     return by_full.unionByName(by_initial)
 
 
 def _typo_links(ents: DataFrame) -> DataFrame:
-    """k, to, cost: keys with few spellings and the better attested key they are a mistyping of.
+    """k, to, cost, rarity: keys with few spellings and the better attested key they are a mistyping of.
 
     ``ents``: e (key), g, s (parts), f (distinct spellings), n (occurrences), and attested where other
-    forms show that s is no mistyping.
+    forms show that s is no mistyping.  A mistyping is a rewriting like the others: every key is rewritten to
+    what its edits leave of it, keys meet over equal rewritings, and rarity is the share that the target has
+    of the spellings of all keys that k can be rewritten to at that cost (1: no other key is as near).
+    A rewriting is shared by at most as many distinct keys as letters can be put into it, so no form grows
+    with the number of rows.
     """
     attested = F.col("attested") if "attested" in ents.columns else F.lit(False)
     keyed = settle(ents.select(F.col("e").alias("k"), "g", "s", "f", "n", attested.alias("attested")))
@@ -300,17 +370,18 @@ def _typo_links(ents: DataFrame) -> DataFrame:
     better = (F.col("f2") > 1) | (weight2 > weight) | ((weight2 == weight) & (F.struct("n2", "k2") > F.struct("n", "k")))
     pairs = pairs.join(keyed, "k").join(two, "k2").where(better).where("NOT attested OR s = s2")
     costs = settle(pairs.select("k", "k2", "g", "g2", "s", "s2", "f2", "n2").mapInPandas(_typo_cost, "k string, k2 string, f2 bigint, n2 bigint, long int, cost double").where("cost <= 2"))
-    best = Window.partitionBy("k").orderBy("cost", F.desc("f2"), F.desc("n2"), "k2")
-    one = costs.where("cost <= 1").withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost")
+    costs = costs.withColumn("rarity", F.col("f2") / F.sum("f2").over(Window.partitionBy("k", "cost")))
+    best = Window.partitionBy("k").orderBy("cost", F.desc("rarity"), F.desc("n2"), "k2")
+    one = costs.where("cost <= 1").withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost", "rarity")
     # what others are a mistyping of is attested by them; only the rest may be two edits from its key
     spent = one.select("k").union(one.select("to")).distinct()
     far = costs.where("cost > 1 AND long >= 12").join(spent, "k", "left_anti")
-    far = far.withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost")
+    far = far.withColumn("r", F.row_number().over(best)).where("r = 1").select("k", F.col("k2").alias("to"), "cost", "rarity")
     chosen = settle(one.unionByName(far))
     # a target that itself goes elsewhere hands on its own target, twice
     step = chosen.select(F.col("k").alias("to"), F.col("to").alias("next"))
     for _ in range(3):
-        chosen = chosen.join(step, "to", "left").select("k", F.coalesce("next", "to").alias("to"), "cost")
+        chosen = chosen.join(step, "to", "left").select("k", F.coalesce("next", "to").alias("to"), "cost", "rarity")
     return settle(chosen.where("k != to"))
 
 
@@ -327,8 +398,8 @@ def _organisations(readings: DataFrame) -> DataFrame:
     typo = _typo_links(split.where("length(s) > 3"))
     # rewritings of complete names: one own word, alone or with the initials of the others in their order;
     # a form shared only by a name and its own mistypings is still rare, so only roots count
-    root = typo.select("k", F.col("to").alias("r"))
-    own = settle(complete.select("k").join(root, "k", "left").select("k", F.coalesce("r", "k").alias("r"), F.col("r").isNotNull().alias("slip")))
+    root = typo.select("k", F.col("to").alias("r"), "cost", "rarity")
+    own = settle(complete.select("k").join(root, "k", "left").select("k", F.coalesce("r", "k").alias("r"), F.col("r").isNotNull().alias("slip"), "cost", "rarity"))
     base = complete.join(own.where("NOT slip").select("k"), "k", "left_semi")
     words = base.select("k", "w", F.explode(F.array_distinct(F.array_except("w", form))).alias("own"))
     others = F.filter("w", lambda z: z != F.col("own"))
@@ -336,12 +407,25 @@ def _organisations(readings: DataFrame) -> DataFrame:
     forms = words.select("k", F.col("own").alias("form")).union(words.select("k", F.array_join(F.array_sort(F.array("own", F.array_join(initials, ""))), " ").alias("form"))).union(words.select("k", F.array_join(F.array_sort(F.concat(F.array("own"), initials)), " ").alias("form")))
     rare = forms.distinct().groupBy("form").agg(F.count(F.lit(1)).alias("c"), F.max("k").alias("to"))
     short = rest.select("k").join(rare.select(F.col("form").alias("k"), "c", "to"), "k", "left")
-    short = short.select("k", F.when(F.col("c") == 1, F.col("to")).otherwise(F.col("k")).alias("e"), F.when(F.col("c") == 1, F.lit("short form")).otherwise(F.lit("words")).alias("rule"), F.when(F.col("c") > 1, 1.0 / F.col("c")).when(F.col("c") == 1, 0.9).otherwise(1.0).alias("confidence"))
-    long = own.select("k", F.col("r").alias("e"), F.when(F.col("slip"), F.lit("typing")).otherwise(F.lit("words")).alias("rule"), F.when(F.col("slip"), 0.85).otherwise(1.0).alias("confidence"))
+    short = short.select("k", F.when(F.col("c") == 1, F.col("to")).otherwise(F.col("k")).alias("e"), F.when(F.col("c") == 1, F.lit("short form")).otherwise(F.lit("words")).alias("rule"), F.when(F.col("c") > 1, 1.0 / F.col("c")).when(F.col("c") == 1, _SURE["short form"]).otherwise(1.0).alias("confidence"))
+    long = own.select("k", F.col("r").alias("e"), F.when(F.col("slip"), F.lit("typing")).otherwise(F.lit("words")).alias("rule"), _score(F.lit(False), "").alias("confidence"))
     return orgs.select("name", "k").join(long.unionByName(short), "k").select("name", F.concat(F.lit("o:"), "e").alias("entity"), F.lit("o").alias("kind"), "rule", "confidence")
 
 
+def name_classes(links: DataFrame) -> DataFrame:
+    """name, entity, kind, links: every name with its class and to how many other names that links it."""
+    size = links.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return links.join(size, "entity").select("name", "entity", "kind", "links")
+
+
+#: Names of one entity that one task pairs with the entity's other names.
+SHARE = 1000
+
+
 def name_pairs(links: DataFrame) -> DataFrame:
-    """name_a < name_b of one entity, by an equi-join on the entity."""
-    a, b = links.select("entity", F.col("name").alias("name_a")), links.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b").distinct()
+    """name_a < name_b of one entity; the names of an entity with many are dealt out over several tasks."""
+    size = links.groupBy("entity").agg(F.floor(F.count(F.lit(1)) / SHARE).cast("int").alias("last")).where("last > 0")
+    dealt = links.select("entity", "name").distinct().join(size, "entity", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    a = dealt.select("entity", F.pmod(F.xxhash64("name"), F.col("last") + 1).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = dealt.select("entity", F.explode(F.sequence(F.lit(0), "last")).alias("part"), F.col("name").alias("name_b"))
+    return a.join(b, ["entity", "part"]).where("name_a < name_b").select("name_a", "name_b").distinct()
