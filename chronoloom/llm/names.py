@@ -224,14 +224,14 @@ def _typo_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Symmetric deletion: forms of which two keys share one if each part is within one edit, or the surname within two."""
     for frame in frames:
         out = []
-        for k, g, s in zip(frame["k"], frame["g"], frame["s"]):
+        for k, g, s, weak in zip(frame["k"], frame["g"], frame["s"], frame["weak"]):
             forms = {f"{x}|{y}" for x in edit_keys(g, 1 if len(g) > 2 else 0) or {g} for y in edit_keys(s, 1)}
             if len(s) > 6:
                 forms |= {f"{g}|{y}" for y in edit_keys(s, 2)}
             if len(g) > 5:
                 forms |= {f"{x}|{s}" for x in edit_keys(g, 2)}
-            out += [(k, f) for f in forms]
-        yield pd.DataFrame(out, columns=["k", "form"])
+            out += [(k, weak, f) for f in forms]
+        yield pd.DataFrame(out, columns=["k", "weak", "form"])
 
 
 def _typo_cost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,9 +362,11 @@ def _typo_links(ents: DataFrame) -> DataFrame:
     """
     attested = F.col("attested") if "attested" in ents.columns else F.lit(False)
     keyed = settle(ents.select(F.col("e").alias("k"), "g", "s", "f", "n", attested.alias("attested")))
-    forms = keyed.select("k", "g", "s").mapInPandas(_typo_keys, "k string, form string").withColumn("form", F.xxhash64("form"))
-    weak = forms.join(keyed.where("f = 1").select("k"), "k", "left_semi")
-    pairs = weak.join(forms.select("form", F.col("k").alias("k2")), "form").where("k != k2").select("k", "k2").distinct()
+    # read twice, so written once; spread, because a row becomes many
+    tasks = keyed.sparkSession.sparkContext.defaultParallelism
+    spread = keyed.repartition(max(tasks, keyed.rdd.getNumPartitions()), "k").select("k", "g", "s", (F.col("f") == 1).alias("weak"))
+    forms = settle(spread.mapInPandas(_typo_keys, "k string, weak boolean, form string").withColumn("form", F.xxhash64("form")))
+    pairs = forms.where("weak").select("k", "form").join(forms.select("form", F.col("k").alias("k2")), "form").where("k != k2").select("k", "k2").distinct()
     two = keyed.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("f").alias("f2"), F.col("n").alias("n2"), F.col("attested").alias("attested2"))
     weight, weight2 = F.col("f") + F.col("attested").cast("int"), F.col("f2") + F.col("attested2").cast("int")
     better = (F.col("f2") > 1) | (weight2 > weight) | ((weight2 == weight) & (F.struct("n2", "k2") > F.struct("n", "k")))
@@ -424,8 +426,9 @@ SHARE = 1000
 
 def name_pairs(links: DataFrame) -> DataFrame:
     """name_a < name_b of one entity; the names of an entity with many are dealt out over several tasks."""
+    links = settle(links.select("entity", "name").distinct())
     size = links.groupBy("entity").agg(F.floor(F.count(F.lit(1)) / SHARE).cast("int").alias("last")).where("last > 0")
-    dealt = links.select("entity", "name").distinct().join(size, "entity", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+    dealt = links.join(size, "entity", "left").withColumn("last", F.coalesce("last", F.lit(0)))
     a = dealt.select("entity", F.pmod(F.xxhash64("name"), F.col("last") + 1).cast("int").alias("part"), F.col("name").alias("name_a"))
     b = dealt.select("entity", F.explode(F.sequence(F.lit(0), "last")).alias("part"), F.col("name").alias("name_b"))
     return a.join(b, ["entity", "part"]).where("name_a < name_b").select("name_a", "name_b").distinct()
