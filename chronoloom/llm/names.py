@@ -391,8 +391,9 @@ def _organisations(readings: DataFrame) -> DataFrame:
     """Organisations: the sorted words are the key; acronyms, bare names and typing errors are rewritten to it."""
     orgs = readings.where("kind = 'o'").select("name", "n", F.split("b", " ").alias("w"), F.col("a").alias("k"))
     form = F.array(*[F.lit(x) for x in FORMS])
-    ks = orgs.groupBy("k").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("f"), F.sum("n").alias("n"), F.max(F.array_size("w")).alias("size"))
-    ks = settle(ks)
+    # w: the order of words that most occurrences have; acronyms follow every order that occurs
+    orders = settle(orgs.groupBy("k", "w").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("n")))
+    ks = settle(orders.groupBy("k").agg(F.max_by("w", F.struct("n", "w")).alias("w"), F.sum("f").alias("f"), F.sum("n").alias("n")))
     complete = ks.where(F.arrays_overlap("w", form))
     rest = ks.where(~F.arrays_overlap("w", form))
     # typing errors among complete names: forms stay, the own words vary
@@ -402,7 +403,7 @@ def _organisations(readings: DataFrame) -> DataFrame:
     # a form shared only by a name and its own mistypings is still rare, so only roots count
     root = typo.select("k", F.col("to").alias("r"), "cost", "rarity")
     own = settle(complete.select("k").join(root, "k", "left").select("k", F.coalesce("r", "k").alias("r"), F.col("r").isNotNull().alias("slip"), "cost", "rarity"))
-    base = complete.join(own.where("NOT slip").select("k"), "k", "left_semi")
+    base = orders.where(F.arrays_overlap("w", form)).join(own.where("NOT slip").select("k"), "k", "left_semi")
     words = base.select("k", "w", F.explode(F.array_distinct(F.array_except("w", form))).alias("own"))
     others = F.filter("w", lambda z: z != F.col("own"))
     initials = F.transform(others, lambda z: F.substring(z, 1, 1))
