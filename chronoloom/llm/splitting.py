@@ -57,13 +57,18 @@ def scan(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(spans, np.int64).reshape(-1, 2), strength
 
 
-def finest(strength: np.ndarray, limit: int) -> int:
-    """The strongest boundary at which alone the text could be cut into parts of at most limit words."""
-    for level in (PARAGRAPH, SENTENCE):
-        ends = np.r_[np.flatnonzero(strength[:-1] >= level) + 1, len(strength)]
-        if np.diff(ends, prepend=0).max() <= limit:
-            return level
-    return WORD
+def finest(best: RangeMaximum, limit: int) -> int:
+    """The strongest boundary at which alone the text could be cut into parts of at most limit words.
+
+    Each part ends at the strongest cut of its window.  If every window has a cut of some strength, all cuts
+    taken are at least as strong; if a stretch longer than the limit has none, the part that begins with it
+    takes a weaker one.  So the weakest cut taken is the answer.
+    """
+    n, start, weakest = len(best.values), 0, PARAGRAPH
+    while n - start > limit:
+        end = best.query(start, start + limit - 1)
+        weakest, start = min(weakest, int(best.values[end])), end + 1
+    return weakest
 
 
 def split(text: str, limit: int, tail: int) -> list[tuple[int, int, int, int]]:
@@ -74,14 +79,14 @@ def split(text: str, limit: int, tail: int) -> list[tuple[int, int, int, int]]:
     long to be kept whole), by its last ``tail`` words.
     """
     _, strength = scan(text)
-    return _split(strength, limit, tail)
+    return _split(RangeMaximum(strength), limit, tail)
 
 
-def _split(strength: np.ndarray, limit: int, tail: int) -> list[tuple[int, int, int, int]]:
+def _split(best: RangeMaximum, limit: int, tail: int) -> list[tuple[int, int, int, int]]:
+    strength = best.values
     n, pieces, start, cut = len(strength), [], 0, 0
     if not n:
         return []
-    best = RangeMaximum(strength)
     before = np.maximum.accumulate(np.where(strength >= SENTENCE, np.arange(n), -1))
     while n - start > limit:
         end = best.query(cut, start + limit - 1) + 1
@@ -102,8 +107,9 @@ def _pieces(limit: int, tail: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 n = len(spans)
                 if not n:
                     continue
-                kind = NAMES[finest(strength, limit)] if n > limit else None
-                for i, (a, b, over, cut) in enumerate(_split(strength, limit, tail)):
+                best = RangeMaximum(strength) if n > limit else None
+                kind = NAMES[finest(best, limit)] if best else None
+                for i, (a, b, over, cut) in enumerate(_split(best, limit, tail) if best else [(0, n, 0, 0)]):
                     lo, hi = int(spans[a][0]), int(spans[b - 1][1])
                     out.append((key, i, text[lo:hi], b - a, over, lo, hi, NAMES.get(cut, "end"), kind, n))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])

@@ -23,7 +23,7 @@ def test_range_maximum():
 @pytest.mark.parametrize("text,kind", [((SENTENCE * 20 + "\n \n") * 5, "paragraph"), (SENTENCE * 80, "sentence"), ("word " * 1000, "word"), ("a b e.g. c cf. Fig. d et al. e vs. f " * 100, "word"), ("x y z " * 400, "word")])
 def test_kinds_and_limits(text, kind):
     _, strength = scan(text)
-    assert NAMES[finest(strength, 512)] == kind
+    assert NAMES[finest(RangeMaximum(strength), 512)] == kind
     pieces = split(text, 512, 32)
     covered = 0
     for a, b, over, _ in pieces:
@@ -50,3 +50,30 @@ def test_operator(spark):
     assert all(r["section"] == "S" and r["of_piece"] == 7 for r in by["a"])
     assert by["b"][0]["boundary"] is None and by["a"][0]["boundary"] == "word"
     assert split_oversized(df.where("id = 'q'"), "id", "text").count() == 0
+
+
+def test_kind_by_the_index_is_that_of_the_run_lengths():
+    r = random.Random(5)
+    for _ in range(500):
+        n, limit = r.randrange(12, 80), r.randrange(3, 11)
+        v = np.array([r.choice((1, 1, 1, 2, 2, 3)) for _ in range(n)])
+        v[-1] = 0
+        runs = lambda level: np.diff(np.r_[np.flatnonzero(v[:-1] >= level) + 1, n], prepend=0).max()
+        assert finest(RangeMaximum(v), limit) == next((level for level in (3, 2) if runs(level) <= limit), 1)
+
+
+def test_pieces_of_the_test_table(spark, sf):
+    """Every piece is within the limit, begins with its overlap, and the pieces cover the text without a hole."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.llm.queries import QUERIES
+
+    rows = QUERIES["p2_pieces"](spark, sf).orderBy("id", F.xxhash64("total"), "piece").collect()
+    assert rows and max(r["words"] for r in rows) <= 512
+    for a, b in zip(rows, rows[1:]):
+        assert len(a["text"].split()) == a["words"]
+        if a["id"] == b["id"] and b["piece"] == a["piece"] + 1 and a["total"] == b["total"]:
+            assert 0 < b["overlap"] <= 256 and b["start"] < a["stop"] <= b["stop"]
+            assert b["text"].split()[: b["overlap"]] == a["text"].split()[-b["overlap"] :]
+        else:
+            assert b["piece"] == 0 and b["overlap"] == 0
