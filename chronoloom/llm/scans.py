@@ -6,17 +6,19 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.llm.names import distance
 from chronoloom.session import settle
 
 #: What is printed and what a scanner reads (read, printed).
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("1", "i"), ("1", "l"), ("l", "i"), ("i", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("8", "b"), ("7", "t"), ("6", "b"), ("2", "z"), ("b", "h"), ("h", "b"), ("ı", "i"), ("á", "a"), ("à", "a"),
-    ("é", "e"), ("í", "i"), ("ó", "o"), ("ri", "n"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("h", "li"), ("li", "h"), ("vv", "w"), ("w", "vv"), ("nn", "m"), ("in", "m"), ("ti", "h"), ("u", "ii"),
+    ("i", "1"), ("l", "1"), ("o", "0"), ("s", "5"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ri", "n"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("h", "li"), ("li", "h"), ("vv", "w"), ("w", "vv"), ("nn", "m"), ("in", "m"), ("ti", "h"), ("u", "ii"),
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("€", "c"), ("$", "s"), ("@", "a"), ("!", "l"), ("|", "l"), ("q", "g"), ("g", "q"), ("t", "f"), ("f", "t"),
 )
 #: Characters that break a word at the end of a line, and those that dirt leaves within words.
@@ -25,6 +27,12 @@ STRAY = "'|^~`´’‘¨°·•*_¦\\"
 STRIP = ".,;:!?()[]{}\"“”«»"
 #: A word gives way to another that is this many times as frequent, if confusions explain it.
 RATIO = 20
+#: A line is a running header if it is at the edge of two pages of its paper, or of pages of this many papers.
+PAPERS = 5
+#: Lines of scanned papers: the longest has so many letters, this share of lines is nearly full, a page has so many.
+NARROW, WIDE, FULL, LINES = 30, 120, 0.45, 6
+#: Words of more letters are no words of a language, and are not repaired.
+LONGEST = 60
 #: Cost of a confusion and of a stray character; other edits cost 1.5; repairs may cost MOST.
 CONFUSION, MARK, OTHER, MOST = 0.35, 0.3, 1.5, 1.1
 _BY_READ: dict[str, list[str]] = {}
@@ -33,7 +41,6 @@ for _r, _p in CONFUSIONS:
 _DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "g": "9", "á": "4"})
 _NUMBER = re.compile(r"^[\W_]*(?:(?:p|pp|pg|page|seite|s)\b\.?)?[\W_]*([0-9lIi|OoSsBZg]{1,6})(?:\s*(?:/|of|von)\s*[0-9lIi|OoSsBZg]{1,6})?[\W_]*$", re.I)
 _ROMAN = re.compile(r"^[\W_]*([ivxlcı1]{1,8})[\W_]*$", re.I)
-_JOURNAL = re.compile(r"\bV[o0á][l1I|i]?\W*\s*\w{1,4}\s*\(\w{4}\)")
 
 
 def skeleton(text: str) -> str:
@@ -107,9 +114,7 @@ def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s = skeleton(without_number(line))
                 if i == title_at or not s:
                     return False
-                if s in known and len(s) > 5:
-                    return True
-                if _JOURNAL.search(line):
+                if len(s) > 5 and (s in known or any(len(k) > 11 and abs(len(k) - len(s)) <= 2 and distance(k, s) <= 3 for k in known)):
                     return True
                 if first or len(line) > 110:
                     return False
@@ -151,6 +156,31 @@ def core_of(token: str) -> str:
     return token.strip(STRIP)
 
 
+@lru_cache(maxsize=500_000)
+def look(raw: str) -> tuple[str, str]:
+    """The word of a token, and in which way it is no print: ligature, stray or number ('' if in none)."""
+    core = core_of(raw)
+    if any("ﬀ" <= c <= "ﬆ" for c in raw):
+        return core.lower(), "ligature"
+    if not any(c.isalnum() for c in raw) and any(c in STRAY for c in raw):
+        return core.lower(), "stray"
+    if _MIXED.fullmatch(core) and not _COUNTED.fullmatch(core):
+        return core.lower(), "number"
+    return core.lower(), ""
+
+
+#: Digits with letters that look like digits between them, and what is written so on purpose (1990s).
+_MIXED = re.compile(r"(?=.*\d)(?=.*[lIOoSs])[0-9lIOoSs.,]+")
+_COUNTED = re.compile(r"\d+s")
+
+
+def printed_as(word: str, shape: str) -> str:
+    """What was printed where a word is none: ligatures as letters, digits in a number, no stray marks."""
+    if shape == "ligature":
+        return unicodedata.normalize("NFKC", word)
+    return "" if shape == "stray" else word.translate(_DIGITS)
+
+
 def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words of body lines; of a word that may be broken at a line's end both readings (joined and hyphenated)."""
     columns = ["id", "line", "pos", "raw", "word", "prev", "joined", "hyphenated", "id2", "line2", "raw2", "head", "shape"]
@@ -166,7 +196,7 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         taken = False
                         prev = core_of(raw).lower()
                         continue
-                    word = core_of(raw).lower()
+                    word, shape = look(raw)
                     last = pos == len(words) - 1
                     if last and len(raw) > 1 and raw[-1] in HYPHENS and any(c.isalpha() for c in raw):
                         follow = (r.id, body[n + 1][0], body[n + 1][1][0]) if n + 1 < len(body) else (r.next_id, r.next_line, r.next_word)
@@ -177,13 +207,6 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             taken = n + 1 < len(body)
                             prev = rest
                             continue
-                    shape = ""
-                    if any("ﬀ" <= c <= "ﬆ" for c in raw):
-                        shape = "ligature"
-                    elif not any(c.isalnum() for c in raw) and any(c in STRAY for c in raw):
-                        shape = "stray"
-                    elif re.fullmatch(r"[0-9lIOoSs.,]*[0-9][0-9lIOoSs.,]*", core_of(raw)) and re.search(r"[lIOoSs]", core_of(raw)) and re.search(r"\d", core_of(raw)):
-                        shape = "number"
                     out.append((r.id, line, pos, raw, word, prev, None, None, None, -1, None, None, shape))
                     prev = word
             # the next page's first word may end a word of this page; it is then known as a rest by its place
@@ -234,22 +257,30 @@ def _costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(cost=[repair_cost(a, b) for a, b in zip(frame["w"], frame["c"])])
 
 
-def scanned_pages(chunks: DataFrame) -> DataFrame:
-    """id, paper, page, text of the pages of scanned papers: narrow lines, most of them full, no long ones."""
-    once = chunks.where("text IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(F.col("paper_id").alias("paper"), "page", "text"), F.struct(F.length("text"), "text")).alias("r")).select("id", "r.*")
+def one_per_id(chunks: DataFrame) -> DataFrame:
+    """id, paper, page, text: of repeated rows the one with the longest text."""
+    row = F.struct(F.col("paper_id").alias("paper"), "page", "text")
+    return chunks.where("text IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max_by(row, F.struct(F.length("text"), "text")).alias("r")).select("id", "r.*")
+
+
+def scanned_pages(chunks: DataFrame, narrow: int = NARROW, wide: int = WIDE) -> DataFrame:
+    """id, paper, page, text of the pages of scanned papers: the longest line has ``narrow`` to ``wide`` letters, most lines are full."""
+    once = one_per_id(chunks)
     sizes = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(F.regexp_replace(x, "\r", "")))), lambda n: n > 0)
     pages = once.withColumn("n", sizes)
     stats = pages.groupBy("paper").agg(
         F.max(F.array_max("n")).alias("most"), F.sum(F.size("n")).alias("lines"), F.count(F.lit(1)).alias("pages"),
         F.sum(F.size(F.filter("n", lambda x: x >= 0.7 * F.array_max("n")))).alias("full"),
-    ).where((F.col("most").between(30, 120)) & (F.col("full") >= 0.45 * F.col("lines")) & (F.col("lines") >= 6 * F.col("pages")))
+    ).where((F.col("most").between(narrow, wide)) & (F.col("full") >= FULL * F.col("lines")) & (F.col("lines") >= LINES * F.col("pages")))
     return once.join(stats.select("paper"), "paper", "left_semi").select("id", "paper", "page", "text")
 
 
-def read_pages(chunks: DataFrame) -> DataFrame:
+def read_pages(chunks: DataFrame, narrow: int = NARROW, wide: int = WIDE) -> DataFrame:
     """Pages of scanned papers with their headers, page numbers and body lines: id, paper, page, header, number, body, blank."""
-    seen = settle(scanned_pages(chunks).mapInPandas(_first_look, "id string, paper string, page int, text string, edge array<string>, offsets array<int>, title string, author string"))
-    often = seen.select("paper", "id", F.explode(F.array_distinct("edge")).alias("k")).groupBy("paper", "k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    seen = settle(scanned_pages(chunks, narrow, wide).mapInPandas(_first_look, "id string, paper string, page int, text string, edge array<string>, offsets array<int>, title string, author string"))
+    edges = settle(seen.select("paper", F.explode(F.array_distinct("edge")).alias("k")).groupBy("paper", "k").agg(F.count(F.lit(1)).alias("c")))
+    common = edges.groupBy("k").agg(F.count(F.lit(1)).alias("papers")).where(F.col("papers") >= PAPERS)
+    often = edges.join(common, "k", "left").where("c > 1 OR papers IS NOT NULL")
     often = often.groupBy("paper").agg(F.collect_list("k").alias("headers"))
     votes = seen.select("paper", F.explode(F.array_distinct("offsets")).alias("o")).groupBy("paper", "o").agg(F.count(F.lit(1)).alias("c"))
     votes = votes.groupBy("paper").agg(F.max_by("o", F.struct("c", -F.abs("o"))).alias("offset"))
@@ -271,30 +302,41 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def lexicon(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Word counts and counts of neighbouring words over all texts (of repeated rows one)."""
-    once = chunks.where("text IS NOT NULL").select("id", "text").dropDuplicates(["id"])
-    clean = F.transform(F.filter(F.split(F.lower("text"), r"[\s ]+"), lambda x: x != ""), lambda x: F.regexp_replace(x, r"^[.,;:!?()\[\]{}\"“”«»]+|[.,;:!?()\[\]{}\"“”«»]+$", ""))
-    words = once.select(clean.alias("ws"))
-    counts = words.select(F.explode("ws").alias("w")).where("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    two = words.select(F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, 10_000_000).alias("b"))).alias("z")).select("z.a", "z.b").where("b IS NOT NULL")
-    pairs = two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return settle(counts), pairs
+    """Word counts and counts of neighbouring words over all texts, of repeated rows the same one as everywhere.
+
+    Neighbours are counted once, a text's last word with none; a word's count is the sum over what follows it.
+    """
+    clean = F.transform(F.split(F.lower("text"), r"[\s\u00a0]+"), lambda x: F.btrim(x, F.lit(STRIP)))
+    words = one_per_id(chunks).select(F.filter(clean, lambda x: x != "").alias("ws"))
+    two = words.select(F.explode(F.arrays_zip(F.col("ws").alias("a"), F.expr("slice(ws, 2, greatest(size(ws), 1))").alias("b"))).alias("z")).select("z.a", "z.b").where("a IS NOT NULL")
+    pairs = settle(two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    return settle(pairs.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"))), pairs.where("b IS NOT NULL")
+
+
+def _printed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.assign(c=[printed_as(w, k) for w, k in zip(frame["w"], frame["shape"])]).drop(columns=["shape"])
 
 
-def repairs(words: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def repairs(words: DataFrame, counts: DataFrame, pairs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """prev, w, c, cost: the printed word c for a misread w after prev.
 
-    Candidates come from the symmetric-delete index of words that are RATIO times as frequent; of those that
-    confusions explain, the one with the best frequency, context (bigrams) and cost is taken.
+    Candidates come from the symmetric-delete index of words that are RATIO times as frequent, and, for what is
+    no print (ligatures, stray marks, digits mixed with letters), from writing it plainly; of those that
+    confusions explain, the one with the best frequency, context (bigrams) and cost is taken.  Words of
+    ``longest`` letters or more aren't looked up in the index.
     """
-    asked = words.select("word").union(words.where("joined IS NOT NULL").select("hyphenated")).distinct().select(F.col("word").alias("w")).where("length(w) > 2 AND length(w) < 60 AND w RLIKE '[^0-9.,%/-]'")
+    asked = words.select("word").union(words.where("joined IS NOT NULL").select("hyphenated")).distinct().select(F.col("word").alias("w")).where((F.length("w") > 2) & (F.length("w") < longest) & F.col("w").rlike("[^0-9.,%/-]"))
     asked = asked.join(counts, "w", "left").select("w", F.coalesce("n", F.lit(1)).alias("n"))
     index = counts.where((F.col("n") >= RATIO) & F.col("w").rlike(r"^[a-z][a-z.-]*$") & (F.length("w") > 1)).select(F.col("w"), F.col("n"))
     forms = asked.select("w").mapInPandas(_deletes, "w string, form string").select("w", F.xxhash64("form").alias("form"))
     known = index.select("w").mapInPandas(_deletes, "w string, form string").select(F.col("w").alias("c"), F.xxhash64("form").alias("form"))
     near = forms.join(known, "form").where("w != c AND abs(length(w) - length(c)) <= 3").select("w", "c").distinct()
     near = near.join(asked, "w").join(index.select(F.col("w").alias("c"), F.col("n").alias("cn")), "c").where(F.col("cn") >= RATIO * F.col("n"))
-    near = settle(near.select("w", "c", "n", "cn").mapInPandas(_costs, "w string, c string, n bigint, cn bigint, cost double").where(F.col("cost") <= MOST))
+    odd = words.where("shape != '' AND joined IS NULL").groupBy(F.col("word").alias("w")).agg(F.max("shape").alias("shape")).join(counts, "w", "left").select("w", "shape", F.coalesce("n", F.lit(1)).alias("n"))
+    odd = odd.mapInPandas(_printed, "w string, n bigint, c string").where("c != w").join(counts.select(F.col("w").alias("c"), F.col("n").alias("cn")), "c", "left")
+    near = near.select("w", "c", "n", "cn").union(odd.select("w", "c", "n", F.coalesce("cn", F.lit(1))))
+    near = settle(near.distinct().mapInPandas(_costs, "w string, c string, n bigint, cn bigint, cost double").where(F.col("cost") <= MOST))
     places = words.select("prev", F.col("word").alias("w")).union(words.where("joined IS NOT NULL").select("prev", "hyphenated")).join(near.select("w"), "w", "left_semi").distinct()
     tried = places.join(near, "w").join(pairs.select(F.col("a").alias("prev"), F.col("b").alias("c"), F.col("n").alias("together")), ["prev", "c"], "left")
     score = F.log("cn") + F.log(F.coalesce("together", F.lit(0)) + 0.5) - 4 * F.col("cost")
@@ -306,7 +348,7 @@ def judged_words(words: DataFrame, counts: DataFrame, mends: DataFrame) -> DataF
     """Words with their repair: broken (a word cut by a hyphen), fixed (the printed word), bad (misread), where (1 or 2: which line)."""
     n = counts.select(F.col("w").alias("k"), "n")
     plain = words.where("joined IS NULL").join(mends.select("prev", F.col("w").alias("word"), "c"), ["prev", "word"], "left")
-    plain = plain.select("id", "line", "pos", "raw", "word", F.coalesce("c", "word").alias("fixed"), F.lit(False).alias("broken"), (F.col("c").isNotNull() | (F.col("shape") != "")).alias("bad"), F.lit("").alias("second"), F.lit(None).cast("string").alias("id2"), F.lit(-1).alias("line2"), F.lit(None).cast("string").alias("raw2"))
+    plain = plain.select("id", "line", "pos", "raw", "word", F.coalesce("c", "word").alias("fixed"), F.lit(False).alias("broken"), F.col("c").isNotNull().alias("bad"), F.lit("").alias("second"), F.lit(None).cast("string").alias("id2"), F.lit(-1).alias("line2"), F.lit(None).cast("string").alias("raw2"))
     m = lambda x: mends.select("prev", F.col("w").alias(x), F.col("c").alias(f"c_{x}"), F.col("cn").alias(f"n_{x}"))
     cut = words.where("joined IS NOT NULL").join(m("joined"), ["prev", "joined"], "left").join(m("hyphenated"), ["prev", "hyphenated"], "left")
     cut = cut.join(n.select(F.col("k").alias("joined"), F.col("n").alias("own_j")), "joined", "left").join(n.select(F.col("k").alias("hyphenated"), F.col("n").alias("own_h")), "hyphenated", "left")
@@ -328,20 +370,25 @@ def _tail_ok():
     return fixed.endswith(rest)
 
 
-def faulty_lines(chunks: DataFrame) -> DataFrame:
+def faulty_lines(chunks: DataFrame, narrow: int = NARROW, wide: int = WIDE, longest: int = LONGEST) -> DataFrame:
     """chunk_id, kind ('header' | 'page_no' | 'hyphen' | 'chars'), line_no of every faulty line of scanned pages.
 
     ``chunks``: id, text, page, paper_id.  Texts that are null or blank, and papers that weren't scanned
-    (long lines), give nothing; of repeated rows one counts; a null page is taken as the first.
+    (lines outside ``narrow`` to ``wide`` letters), give nothing; of repeated rows the longest counts; a null page
+    is taken as the first.  Words of ``longest`` letters or more are taken as they stand.
+
+    A line at a page's edge is a header if other pages of the paper, or pages of PAPERS papers, have it there,
+    but for what scanners confuse and up to three letters.
 
     Plan: pages are read in Arrow batches; what repeats at the edges of pages is counted per paper by hash;
     the only windows are over one small row per page.  Words are counted once over the whole corpus, and
-    all candidate search, cost and context work is on distinct words.
+    all candidate search, cost and context work is on distinct words; a deletion form is shared by at most as
+    many words as two letters can be put into it, however many rows there are.
     """
-    pages = read_pages(chunks)
+    pages = read_pages(chunks, narrow, wide)
     words = page_words(pages)
     counts, pairs = lexicon(chunks)
-    judged = settle(judged_words(words, counts, repairs(words, counts, pairs)))
+    judged = settle(judged_words(words, counts, repairs(words, counts, pairs, longest)))
     kind = lambda df, k, line: df.select(F.col("id").alias("chunk_id"), F.lit(k).alias("kind"), F.col(line).alias("line_no"))
     parts = kind(pages.select("id", F.explode("header").alias("l")), "header", "l").unionByName(kind(pages.select("id", F.explode("number").alias("l")), "page_no", "l"))
     parts = parts.unionByName(kind(judged.where("broken"), "hyphen", "line")).unionByName(kind(judged.where("bad"), "chars", "line"))
@@ -358,7 +405,7 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
     pages = read_pages(chunks)
     words = page_words(pages)
     counts, pairs = lexicon(chunks)
-    judged = judged_words(words, counts, repairs(words, counts, pairs))
+    judged = settle(judged_words(words, counts, repairs(words, counts, pairs)))
     lines = pages.select("id", "paper", "page", "blank", F.explode("body").alias("x")).select("id", "paper", "page", F.col("x.line").alias("line"), F.col("x.text").alias("text"), (F.array_contains("blank", F.col("x.line") - 1) & (F.col("x.line") > 1)).alias("after_blank"))
     def dressed(raw, fixed):  # noqa: ANN001, ANN202
         """The repaired word in the dress (case, marks) of what was read."""

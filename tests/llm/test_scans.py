@@ -63,3 +63,31 @@ def test_pieces():
     assert [page_value(x) for x in ("- llO7 -", "[218]", "xvii", "p. 4", "1 / 9", "0.65.", "word")] == [1107, 218, 17, 4, 1, None, None]
     assert repair_cost("constru~ction", "construction") < 0.5 and repair_cost("kemel", "kernel") < 0.5 and repair_cost("cat", "dog") > 1
     assert skeleton("TRACKlNG") == skeleton("TRACKING")
+
+
+def test_parameters_on_both_sides_of_their_limits(spark):
+    wide = max(len(x) for n in (1, 2, 3, 4) for x in body(n))
+    found = lambda **more: {tuple(r) for r in faulty_lines(chunks(spark), **more).collect()}
+    assert found(wide=wide) == found() and not found(wide=wide - 1) and not found(narrow=wide + 1)
+    assert {x for x in found(longest=10) if x[1] == "chars"} < {x for x in found() if x[1] == "chars"}
+
+
+def test_headers_by_repetition_over_papers(spark):
+    """A running header that a paper has once is one if other papers have it, misread or not; other lines aren't."""
+    from chronoloom.llm.scans import read_pages
+
+    rows = []
+    for p in range(6):
+        names = ["Annals of Remembered Things, Vol. 7 (1999)", "Annals of Remembered Thlngs, Vol. 9 (2001)"]
+        rows += [(f"{p}.1", "\n".join(["A title of its own " + "abcdef"[p] * 9, "", *BODY, "its own end " + "mnopqr"[p] * 40, names[p % 2]]), 1, f"paper{p}", "x", 1, "y")]
+        rows += [(f"{p}.2", "\n".join(["An opening line of body text " + "ghijkl"[p] * 12, "stuvwx"[p] * 50, *BODY, "abcdef"[p] * 50, "ghijkl"[p] * 50]), 2, f"paper{p}", "x", 1, "y")]
+    got = {r["id"]: r["header"] for r in read_pages(spark.createDataFrame(rows, S)).collect()}
+    assert all(got[f"{p}.1"] == [len(BODY) + 4] and got[f"{p}.2"] == [] for p in range(6))
+
+
+def test_what_is_no_print():
+    from chronoloom.llm.scans import look, printed_as
+
+    assert [look(x) for x in ("ﬁxed,", "|", "2O19.", "1990s", "s2", "word")] == [("ﬁxed", "ligature"), ("|", "stray"), ("2o19", "number"), ("1990s", ""), ("s2", "number"), ("word", "")]
+    assert [printed_as("ﬁxed", "ligature"), printed_as("|", "stray"), printed_as("2o19", "number")] == ["fixed", "", "2019"]
+    assert repair_cost("2o19", "2019") < 0.5 and repair_cost("|", "") < 0.5 and repair_cost("ﬁxed", "fixed") < 0.5
