@@ -40,6 +40,7 @@ for _r, _p in CONFUSIONS:
     _BY_READ.setdefault(_r, []).append(_p)
 _DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "g": "9", "á": "4"})
 _NUMBER = re.compile(r"^[\W_]*(?:(?:p|pp|pg|page|seite|s)\b\.?)?[\W_]*([0-9lIi|OoSsBZg]{1,6})(?:\s*(?:/|of|von)\s*[0-9lIi|OoSsBZg]{1,6})?[\W_]*$", re.I)
+_DIGITLIKE = re.compile(r"[\W_]*(?=.*\d)[0-9lIOoSsá|]+[\W_]*")
 _ROMAN = re.compile(r"^[\W_]*([ivxlcı1]{1,8})[\W_]*$", re.I)
 
 
@@ -58,6 +59,11 @@ def without_number(line: str) -> str:
     return re.sub(r"(?:\s{2,}|\s+[|·•–—-]\s*)[0-9lIOoSsivxc|]{1,6}\s*$", "", t)
 
 
+def edge_key(line: str) -> str:
+    """The skeleton of a line without its numbers: running headers of one journal differ in volume and year."""
+    return skeleton(" ".join(w for w in without_number(line).split() if not _DIGITLIKE.fullmatch(w)))
+
+
 def page_value(line: str) -> int | None:
     """The number on a line that holds nothing else but its dress; roman numbers count."""
     t = line.strip()
@@ -89,7 +95,7 @@ def _first_look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for id_, paper, page, text in zip(frame["id"], frame["paper"], frame["page"], frame["text"]):
             lines = text.split("\n")
             edge = _zones(lines)
-            keys = [skeleton(without_number(lines[i])) for i, _ in edge]
+            keys = [edge_key(lines[i]) for i, _ in edge]
             values = [v - int(page) for i, _ in edge if (v := page_value(lines[i])) is not None and not pd.isna(page)]
             head = [x for x in (y.strip() for y in lines) if x and page_value(x) is None][:2]
             out.append((id_, paper, page, text, [k for k in keys if len(k) > 5], values, skeleton(head[0]) if head else "", skeleton(re.split(r",| and | & ", head[1])[0]) if len(head) > 1 else ""))
@@ -114,7 +120,8 @@ def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s = skeleton(without_number(line))
                 if i == title_at or not s:
                     return False
-                if len(s) > 5 and (s in known or any(len(k) > 11 and abs(len(k) - len(s)) <= 2 and distance(k, s) <= 3 for k in known)):
+                e = edge_key(line)
+                if len(e) > 5 and (e in known or any(len(k) > 11 and abs(len(k) - len(e)) <= 2 and distance(k, e) <= 3 for k in known)):
                     return True
                 if first or len(line) > 110:
                     return False
