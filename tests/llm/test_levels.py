@@ -1,6 +1,10 @@
 """Reading levels: held-out accuracy and odd input."""
 
 import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.llm.levels import reading_levels
 
@@ -29,3 +33,45 @@ def test_held_out_accuracy(spark):
     few = {x["grade"] for x in reading_levels(d, l.where("doc_id = 1")).collect()}
     assert few == {3}
     assert reading_levels(d.where("doc_id < 0"), l).count() == 0
+
+
+def test_five_fold_on_the_labelled_documents(spark):
+    """Grades of held-out labelled documents, five times through fit itself; labels in part are wrong, so 1 can't be reached."""
+    sf = Path("/root/testdata/sf0.1")
+    if not sf.exists():
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND text IS NOT NULL").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/grade_labels.parquet").where("grade BETWEEN 1 AND 5")
+    rows = labels.groupBy("doc_id").agg(F.median("grade").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("grade").alias("d")).collect()
+    median = {r["doc_id"]: (round(r["m"]), r["n"] > 1 and r["d"] == 1) for r in rows}
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id").cache()
+    hit, sure, n, m = 0, 0, 0, 0
+    for fold in range(5):
+        held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == fold
+        got = {r["doc_id"]: r["grade"] for r in reading_levels(labelled, labels.where(~held)).join(labels.where(held).select("doc_id").distinct(), "doc_id").collect()}
+        hit += sum(g == median[k][0] for k, g in got.items())
+        sure += sum(g == median[k][0] for k, g in got.items() if median[k][1])
+        n, m = n + len(got), m + sum(median[k][1] for k in got)
+    print(f"held out: {hit / n:.3f} of {n} labelled documents, {sure / max(m, 1):.3f} of {m} whose readers agree")
+    assert hit / n > 0.88 and sure / m > 0.93
+
+
+def test_every_word_counts(spark):
+    """Words beyond any list of frequent ones are told apart, by the table that all workers share."""
+    from chronoloom.llm.levels import fit
+
+    rows = [(i, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + i % 26)}" for j in range(600)) + " once" * (i == 0) + " often" * 50) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lexicon, model = fit(d, spark.createDataFrame([], "doc_id bigint, grade int"))
+    assert model is None and lexicon.total == 40 * 650 + 1
+    assert lexicon.rare("often") < lexicon.rare("waaa") < lexicon.rare("once") <= lexicon.rare("never")
+
+
+def test_quantiles():
+    import numpy as np
+
+    from chronoloom.llm.levels import quantiles
+
+    for n in (1, 2, 7, 100):
+        v = np.random.default_rng(n).random(n)
+        assert np.allclose(quantiles(v, (0.0, 0.1, 0.5, 0.9, 1.0)), np.quantile(v, [0.0, 0.1, 0.5, 0.9, 1.0]))
