@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.tokens import VOCABULARY, count_tokens
 from chronoloom.session import settle
 
-#: Buckets of the order within a source; a running sum is over bucket totals, then within one bucket.
-BUCKETS = 1024
+#: Documents of a bucket of the order within a source, about; a running sum is over bucket totals, then within one bucket.
+BUCKET = 100_000
 #: A schedule: weights at equidistant times from 0 to 1, linear between; only their ratio counts.
 FLAT = (1.0, 1.0)
 
@@ -56,7 +56,7 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, budget: int | None = None)
     ``budget`` the mix is as large as the caps on repeats allow at exact shares; with one, a source that its
     cap keeps below its share gives what it can, and the rest is spread over the others (water filling).
     """
-    have = {r["source"]: r["t"] for r in sizes.join(F.broadcast(targets.select("source").distinct().limit(100_000)), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    have = {r["source"]: r["t"] for r in sizes.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     rows = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats")).orderBy("source").collect()
     plan = [{"source": r["source"], "share": r["share"], "repeats": max(int(r["repeats"]), 0), "have": int(have.get(r["source"]) or 0), "demand": 0.0} for r in rows]
     open_ = [p for p in plan if p["have"] and p["repeats"]]
@@ -89,9 +89,9 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict[str, tuple[flo
     schedule, is its position; the mix is range-sorted by it.  Documents without source, of sources without
     target, and without tokens take no part.  Empty tables give an empty mix.
 
-    Plan: tokens are counted in a map and written once.  Running sums are over BUCKETS totals per source
-    (a small table) and within one bucket, so a source with a third of all rows is many groups; the final
-    sort is a range exchange.
+    Plan: tokens are counted in a map and written once.  Running sums are over bucket totals per source (one row
+    for BUCKET documents) and within one bucket, so a source with a third of all rows is many groups; the
+    final sort is a range exchange.
     """
     sizes = settle(sized(documents, vocabulary))
     return _lay_out(sizes, plan_shares(sizes, targets, budget), schedules or {})
@@ -100,11 +100,11 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict[str, tuple[flo
 def _lay_out(sizes: DataFrame, plan: list[dict], schedules: dict[str, tuple[float, ...]]) -> DataFrame:
     spark = sizes.sparkSession
     wanted = [(p["source"], p["demand"], p["have"]) for p in plan if p["demand"] > 0]
-    demand = F.broadcast(spark.createDataFrame(wanted, "source string, demand double, have bigint"))  # one row per target
-    rows = sizes.join(demand, "source")
+    rows = sizes.join(spark.createDataFrame(wanted, "source string, demand double, have bigint"), "source")
+    buckets = max(1, math.ceil(sizes.count() / BUCKET))
     # every repeat is a layer of its own with another order; layer r covers [r have, (r + 1) have)
     rows = rows.withColumn("layer", F.explode(F.expr("sequence(0, cast(greatest(ceil(demand / have), 1) as int) - 1)")))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "layer", F.lit("mix"))).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "layer", F.lit("mix"))).withColumn("b", F.pmod("h", F.lit(buckets)))
     totals = rows.groupBy("source", "layer", "b").agg(F.sum("tokens").alias("s"))
     before = Window.partitionBy("source", "layer").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source", "layer", "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))

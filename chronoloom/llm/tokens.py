@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -27,13 +29,12 @@ _EMPTY = np.int64(-1)
 class Merges:
     """Ranks of byte strings and an open-addressing table from pairs of ids to the id of their union."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         ranks: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    ranks[base64.b64decode(token)] = int(rank)
+        for line in file.splitlines():
+            if line.strip():
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.text = {rank: token for token, rank in ranks.items()}
@@ -164,22 +165,36 @@ class Merges:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def merges(path: str) -> Merges:
-    return Merges(path)
+    return Merges(Path(path).read_bytes())
 
 
 class Encoder:
-    """Texts to ids; remembers the pieces it has met."""
+    """Splits texts and encodes each distinct piece once; ids of known pieces lie one after the other in one array."""
 
-    def __init__(self, path: str):
-        self.merges = merges(path)
+    def __init__(self, own: Merges):
+        self.merges = own
         self.split = regex.compile(PATTERN).findall
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.values, self.used = np.zeros(1024, np.int32), 0
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        new = self.merges.pieces([p.encode("utf-8", "surrogatepass") for p in fresh])
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        first, ends = len(self.known), self.used + np.cumsum(sizes)
+        self.known.update(zip(fresh, range(first, first + len(fresh))))
+        while len(self.values) < ends[-1]:
+            self.values = np.r_[self.values, np.zeros_like(self.values)]
+        while len(self.starts) < len(self.known):
+            self.starts, self.sizes = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.sizes, np.zeros_like(self.sizes)]
+        self.values[self.used : ends[-1]] = np.concatenate(new)
+        self.starts[first : len(self.known)], self.sizes[first : len(self.known)] = ends - sizes, sizes
+        self.used = int(ends[-1])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets per text and all ids, one after the other; null and empty texts have none."""
@@ -188,24 +203,31 @@ class Encoder:
         split = [self.split(t) if t else [] for t in texts]
         fresh = list(dict.fromkeys(p for s in split for p in s if p not in self.known))
         if fresh:
-            for p in fresh:
-                self.known[p] = len(self.known)
-            self.ids += self.merges.pieces([p.encode("utf-8", "surrogatepass") for p in fresh])
+            self._learn(fresh)
         known = self.known
         flat = np.array([known[p] for s in split for p in s], np.int64)
         ends = np.cumsum([0, *map(len, split)])
-        sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        starts = np.cumsum(sizes) - sizes
-        values = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
-        length = sizes[flat] if len(flat) else np.zeros(0, np.int64)
+        length = self.sizes[flat]
         total = np.r_[0, np.cumsum(length)]
-        where = np.repeat(starts[flat] - total[:-1], length) + np.arange(total[-1]) if len(flat) else np.zeros(0, np.int64)
-        return total[ends], values[where]
+        where = np.repeat(self.starts[flat] - total[:-1], length) + np.arange(total[-1])
+        return total[ends], self.values[where]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+#: Encoders of this process by the digest of their vocabulary.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """What gives a worker the encoder of the driver's vocabulary file (a few MB, sent once an executor)."""
+    file = Path(path).read_bytes()
+    digest, shared = hashlib.sha256(file).hexdigest(), spark.sparkContext.broadcast(file)
+
+    def get() -> Encoder:
+        if digest not in _ENCODERS:
+            _ENCODERS[digest] = Encoder(Merges(shared.value))
+        return _ENCODERS[digest]
+
+    return get
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list[str | None]:
@@ -217,9 +239,9 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _encode(path: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(get: Callable[[], Encoder], name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = get()
         for whole in batches:
             for batch in _slices(whole, 1000):
                 offsets, ids = own.encode(_column(batch, "t"))
@@ -239,12 +261,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
     an open-addressing table.  The worker remembers pieces, so frequent words cost a lookup.
     """
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_encode(vocabulary, key), f"`{key}` {kind}, ids array<int>")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_encode(shipped(df.sparkSession, vocabulary), key), f"`{key}` {kind}, ids array<int>")
 
 
-def _count(path: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(get: Callable[[], Encoder], name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = get()
         for whole in batches:
             for batch in _slices(whole, 1000):
                 offsets, _ = own.encode(_column(batch, "t"))
@@ -257,7 +279,7 @@ def count_tokens(df: DataFrame, text: str, name: str = "tokens", vocabulary: str
     """df without the text column, with its number of tokens (0 for null and empty) as ``name``."""
     rest = [c for c in df.columns if c != text]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("t")).mapInArrow(_count(vocabulary, name), f"{schema}, `{name}` bigint")
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("t")).mapInArrow(_count(shipped(df.sparkSession, vocabulary), name), f"{schema}, `{name}` bigint")
 
 
 def decode(ids: list[int], vocabulary: str = VOCABULARY) -> str:

@@ -57,3 +57,21 @@ def test_empty(spark):
     assert mix(d.where("doc_id < 0"), t).count() == 0 and mix(d, t.where("source = 'q'")).count() == 0
     with pytest.raises(ValueError):
         cumulative((0.0, 0.0))
+
+
+def test_shares_with_a_binding_cap_and_a_budget(spark, monkeypatch):
+    """The capped source gives all it may, the rest of the budget is met to half a document, whatever the buckets."""
+    from chronoloom.llm import mixing
+
+    d, t = tables(spark)
+    plan = {p["source"]: p for p in plan_shares(sized(d), t)}
+    budget = plan["small"]["have"] * 3 + plan["big"]["have"] // 2  # more than the caps allow at exact shares
+    seen = []
+    for bucket in (100_000, 3):
+        monkeypatch.setattr(mixing, "BUCKET", bucket)
+        got = {r["source"]: r for r in mixing.shares(d, t, budget=budget).collect()}
+        assert got["small"]["most_repeats"] <= 3 and abs(got["small"]["tokens"] - 3 * plan["small"]["have"]) <= 60
+        assert abs(sum(r["tokens"] for r in got.values()) - budget) <= 60 * len(got)
+        assert abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-9
+        seen.append({k: r["available_tokens"] for k, r in got.items()})
+    assert seen[0] == seen[1]

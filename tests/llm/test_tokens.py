@@ -6,11 +6,11 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoloom.llm.tokens import VOCABULARY, Encoder, Merges, count_tokens, decode, encode
+from chronoloom.llm.tokens import VOCABULARY, Encoder, count_tokens, decode, encode, merges
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
 OWN = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=RANKS, special_tokens={})
-ENCODER = Encoder(VOCABULARY)
+ENCODER = Encoder(merges(VOCABULARY))
 
 
 def mine(texts):
@@ -39,7 +39,7 @@ def test_operator(spark):
 
 
 def test_pair_table():
-    m = Merges(VOCABULARY)
+    m = merges(VOCABULARY)
     import numpy as np
 
     a, b = m.ranks[b"h"], m.ranks[b"e"]
