@@ -49,10 +49,14 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def truncate_to_tokens(text: Column, tokens: int) -> Column:
-    """The text if it fits into tokens of four bytes, else its head up to the last blank and '...' (ASCII)."""
-    head = F.substring(text, 1, tokens * 4)
+    """The text if it fits into tokens of four bytes, else its whole characters within that, up to the last blank, and '...'."""
+    size = tokens * 4
+    head = F.substring(text, 1, size)
+    # fewer characters where some take more than a byte; none takes more than four
+    fits = F.array_max(F.filter(F.sequence(F.lit(tokens), F.lit(size)), lambda n: F.octet_length(F.substr(text, F.lit(1), n)) <= size))
+    head = F.when(F.octet_length(head) <= size, head).otherwise(F.substr(text, F.lit(1), fits))
     cut = F.when(head.contains(" "), F.regexp_extract(head, r"^(?s)(.*) ", 1)).otherwise(head)
-    return F.when(F.octet_length(text) <= tokens * 4, text).otherwise(F.concat(cut, F.lit("...")))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(cut, F.lit("...")))
 
 
 def normalize_for_hash(text: Column) -> Column:

@@ -25,9 +25,18 @@ CAUSES = (
 #: Patterns of named entities (type, pattern, confidence), earlier ones first.
 ENTITY_PATTERNS = (
     ("Person", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", 0.7),
-    ("Organization", r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\s+(?:Inc|Corp|LLC|Ltd|Labs|AI|Research|Foundation|Institute|University|Company)\b", 0.9),
-    ("Date", r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:,?\s+\d{4})?)\b", 0.95),
+    ("Organization", r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\s+(?:Inc|Corp|LLC|Ltd|Labs|AI|Research|Foundation|Institute|University|Company)\b", 0.8),
+    ("Organization", r"\b(Google|Microsoft|Apple|Amazon|Meta|Anthropic|OpenAI|DeepMind|Tesla|Netflix|Uber|Stripe|Databricks|Snowflake|Cohere|Mistral|Stability)\b", 0.95),
+    ("Location", r"\b(New York|San Francisco|London|Tokyo|Berlin|Paris|Seattle|Austin|Boston|Silicon Valley|Bay Area|Palo Alto|Mountain View)\b", 0.9),
+    ("Date", r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2}(?:,?\s+\d{4})?)\b", 0.85),
+    ("Technology", r"\b(GPT-\d+|Claude|Gemini|Llama|BERT|Transformer|Kubernetes|Docker|React|Rust|Python|TypeScript|GraphRAG|Neo4j)\b", 0.9),
 )
+#: Endings of technical words, and words that are no concepts.
+TECHNICAL = ("tion", "sion", "ment", "ence", "ance", "ity", "ism", "ous", "ive", "ical", "graph", "net", "former")
+NO_CONCEPTS = (
+    "abstract", "introduction", "conclusion", "references", "acknowledgements", "appendix", "the", "and", "for", "with", "this", "that", "from", "which", "their", "these", "those",
+    "been", "have", "will", "would", "could", "should", "also", "such",
+)
 ABBREVIATIONS = ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "et al.", "i.e.", "e.g.", "Fig.", "vs.")
 
 
@@ -44,9 +53,12 @@ def causal_pairs(text: Column) -> Column:
 
 
 def concepts(text: Column) -> Column:
-    """Capitalised phrases, acronyms of two to six letters and technical words, distinct without case."""
-    found = [F.regexp_extract_all(text, F.lit(p), 1) for p in (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", r"\b([A-Z]{2,6})\b", r"\b([a-z]+(?:tion|ment|ness|ity|ism|ology|graph|network|model|algorithm|system))\b")]
-    return F.array_distinct(F.transform(F.concat(*found), F.lower))
+    """Capitalised phrases, acronyms of two to six letters and technical words of six letters or more, distinct
+    without case, but for NO_CONCEPTS.  Letters of all scripts count where a word ends."""
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+    kinds = (r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", r"[A-Z]{2,6}", f"(?i:[a-z]{{3,}}(?:{'|'.join(TECHNICAL)}))")
+    found = [F.regexp_extract_all(text, F.lit(rf"(?<!{word})({k})(?!{word})"), 1) for k in kinds]
+    return F.array_except(F.transform(F.concat(*found), F.lower), T.array_of(NO_CONCEPTS))
 
 
 def window_chunks(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
@@ -90,13 +102,13 @@ def recognise(text: str) -> list[tuple[str, str, int, int, float]]:
     """name, type, start, stop, confidence; spans that overlap an earlier pattern's are left out."""
     taken: list[tuple[int, int]] = []
     out = []
-    for kind, pattern, confidence in sorted(ENTITY_PATTERNS, key=lambda x: -x[2]):
+    for kind, pattern, confidence in ENTITY_PATTERNS:
         for m in re.finditer(pattern, text):
-            a, b = m.span()
-            if any(a < d and c < b for c, d in taken):
+            a, b = m.span(1)
+            if any(c <= a < d or c < b <= d for c, d in taken):
                 continue
             taken.append((a, b))
-            out.append((m[0], kind, a, b, confidence))
+            out.append((m[1], kind, a, b, confidence))
     return sorted(out, key=lambda x: x[2])
 
 

@@ -49,16 +49,19 @@ def _(spark, d):
     return V.memory(spark, d).where("content IS NOT NULL").select("id", F.array_join(T.extract_terms(F.col("content")), " ").alias("terms"))
 
 
-@query("token_estimates", "SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("token_estimates", "SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    x = docs(spark, d).where("text IS NOT NULL").where(F.col("text").rlike(r"^[\x00-\x7f]*$") & (F.octet_length("text") == F.length("text")))
+    x = docs(spark, d).where("text IS NOT NULL")
     return x.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), F.size(T.words_of(F.col("text"))).alias("words"))
 
 
-@query("truncated_texts", "SELECT doc_id, CASE WHEN strlen(text) <= 80 THEN text ELSE CASE WHEN contains(text[1:80], ' ') THEN regexp_extract(text[1:80], '(?s)^(.*) ', 1) ELSE text[1:80] END || '...' END AS head FROM documents WHERE source = 'manual' AND text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(
+    "truncated_texts",
+    """WITH h AS (SELECT doc_id, text, text[1:list_max(list_filter(range(20, 81), lambda n: strlen(text[1:n]) <= 80))] AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN strlen(text) <= 80 THEN text ELSE CASE WHEN contains(h, ' ') THEN regexp_extract(h, '(?s)^(.*) ', 1) ELSE h END || '...' END AS head FROM h""",
+)
 def _(spark, d):
-    x = docs(spark, d).where("source = 'manual' AND text IS NOT NULL").where(F.octet_length("text") == F.length("text"))
-    return x.select("doc_id", T.truncate_to_tokens(F.col("text"), 20).alias("head"))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", T.truncate_to_tokens(F.col("text"), 20).alias("head"))
 
 
 @query("content_hash_dups", "WITH h AS (SELECT doc_id, sha256(array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), ' ')) AS h FROM documents WHERE text IS NOT NULL) SELECT h AS hash, count(*) AS n, min(doc_id) AS first_id FROM h GROUP BY h HAVING count(*) > 1")
@@ -77,10 +80,9 @@ def _(spark, d):
     return V.memory(spark, d).where("content IS NOT NULL").select("id", F.array_join(T.note_keywords(F.col("content")), ",").alias("keywords")).where("keywords != ''")
 
 
-@query("paper_titles", "SELECT DISTINCT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normal FROM papers WHERE title IS NOT NULL AND regexp_full_match(title, '[\\x00-\\x7f]*')")
+@query("paper_titles", "SELECT DISTINCT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normal FROM papers WHERE title IS NOT NULL")
 def _(spark, d):
-    p = load(spark, d, "papers").where("title IS NOT NULL").where(F.octet_length("title") == F.length("title"))
-    return p.select("id", T.normalize_title(F.col("title")).alias("normal")).distinct()
+    return load(spark, d, "papers").where("title IS NOT NULL").select("id", T.normalize_title(F.col("title")).alias("normal")).distinct()
 
 
 @query("paragraph_counts", "SELECT DISTINCT id, len(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')) AS n FROM chunks WHERE text IS NOT NULL")
@@ -351,18 +353,30 @@ def _(spark, d):
     return x.select("sentence", F.explode(X.causal_pairs(F.col("sentence"))).alias("r")).select("sentence", "r.cause", "r.effect", "r.confidence")
 
 
-_CONCEPTS = (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", r"\b([A-Z]{2,6})\b", r"\b([a-z]+(?:tion|ment|ness|ity|ism|ology|graph|network|model|algorithm|system))\b")
+#: Fixed values, written for SQL: phrases, acronyms, technical words and the words that are none.  Letters of other
+#: scripts are written as underscores first, because word boundaries know ASCII only there.
+_CONCEPTS = (
+    r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b", r"\b([A-Z]{2,6})\b", r"\b((?i:[a-z]{3,}(?:tion|sion|ment|ence|ance|ity|ism|ous|ive|ical|graph|net|former)))\b",
+)
+_NO_CONCEPTS = "abstract introduction conclusion references acknowledgements appendix the and for with this that from which their these those been have will would could should also such"
 
 
-@query("concepts", "WITH c AS (SELECT DISTINCT doc_id, lower(unnest(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in _CONCEPTS) + "))) AS concept FROM documents WHERE source = 'wiki_page' AND regexp_full_match(text, '[\\x00-\\x7f]*')) SELECT concept, count(*) AS n FROM c GROUP BY concept")
+@query(
+    "concepts",
+    "WITH a AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g') AS t, text FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f\\p{L}\\p{M}\\p{Nd}\\p{Pc}]', '.', 'g') AS text FROM documents)), c AS (SELECT DISTINCT doc_id, lower(unnest(list_concat("
+    + ", ".join(f"regexp_extract_all(t, '{p}', 1)" for p in _CONCEPTS)
+    + "))) AS concept FROM a) SELECT concept, count(*) AS n FROM c WHERE concept NOT IN ("
+    + ", ".join(f"'{w}'" for w in _NO_CONCEPTS.split())
+    + ") GROUP BY concept",
+)
 def _(spark, d):
-    x = docs(spark, d).where("source = 'wiki_page' AND text IS NOT NULL").where(F.octet_length("text") == F.length("text"))
+    x = docs(spark, d).where("text IS NOT NULL")
     return x.select("doc_id", F.explode(X.concepts(F.col("text"))).alias("concept")).groupBy("concept").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("window_chunks", "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x20-\\x7e\\n\\t\\r]*')), c AS (SELECT doc_id, t, unnest(generate_series(1, length(t), 448)) AS start FROM t WHERE t <> '') SELECT doc_id, start, md5(substr(t, start, 512)) AS piece FROM c")
+@query("window_chunks", "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, unnest(generate_series(1, length(t), 448)) AS start FROM t WHERE t <> '') SELECT doc_id, start, md5(substr(t, start, 512)) AS piece FROM c")
 def _(spark, d):
-    x = docs(spark, d).where("text IS NOT NULL").where(F.col("text").rlike(r"^[\x20-\x7e\n\t\r]*$"))
+    x = docs(spark, d).where("text IS NOT NULL")
     return X.window_chunks(x, "doc_id", "text").select("doc_id", F.col("start").cast("bigint").alias("start"), F.md5("piece").alias("piece"))
 
 
