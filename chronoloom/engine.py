@@ -130,13 +130,14 @@ class Engine:
         self.entities, self.relationships = out["entities"], out["relationships"]
         return out["conflicts"]
 
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        """id, score, sources: BM25 and vectors of name and summary, fused."""
+    def search(self, query: str, k: int = 10, seeds: list[str] | None = None) -> DataFrame:
+        """id, score, sources: semantic, keyword, PageRank and (from seeds) traversal lists, fused."""
+        return self.search_with_stages(query, k, seeds)[0]
+
+    def search_with_stages(self, query: str, k: int = 10, seeds: list[str] | None = None, rerank: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The hits and how many each stage gave (stage, n)."""
         rows = self.entities.select("id", F.concat_ws(" ", "name", "summary").alias("text"))
-        terms = [t for t in query.lower().split() if t not in T.STOP_WORDS and len(t) > 1]
-        vectors = rows.select("id", V.cosine(self.embed(F.lower("text")), self.embed(F.lit(query.lower()))).alias("score")).orderBy(F.desc("score"), "id").limit(3 * k)
-        lists = {"semantic": vectors} | ({"keyword": R.bm25(rows, "id", "text", terms, 3 * k)} if terms else {})
-        return R.rrf(lists, "id", {n: R.CHANNELS[n] for n in lists}).orderBy(F.desc("score"), "id").limit(k)
+        return R.hybrid(rows, self.relationships, query, k, seeds, rerank, self.embed)
 
     def facts_of(self, hits: DataFrame) -> DataFrame:
         """id, fact, current of the edges at the hits, each once."""

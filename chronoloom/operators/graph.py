@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from chronoloom.session import settle
+from chronoloom.session import settle, written
 
 
 def hop_distances(edges: DataFrame, start: str, depth: int) -> DataFrame:
@@ -36,29 +36,37 @@ def subgraph(edges: DataFrame, nodes: DataFrame, legacy: bool = False) -> DataFr
     return s.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 20, epsilon: float | None = None, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 20, epsilon: float | None = None, every: int = 1) -> DataFrame:
     """Personalised PageRank: id, score.  ``edges``: a, b, w (directed); ``seeds``: id, p (sums to 1).
 
     s' = alpha W's + (1 - alpha) p + alpha (dangling mass) p; stops after ``rounds`` or at an L1 change below
-    epsilon.  State is written to the shared folder every few rounds, so the plan stays short.
+    epsilon.  Empty edges leave the seeds' own mass.
+
+    Plan: a round is one join of the state with the edges and one aggregation of the flows together with the
+    nodes' own rows.  The state, read by both, is written to the shared folder each round (every
+    ``every`` rounds); where dangling nodes or epsilon ask for sums over it, it is observed as it is written.
     """
     out = edges.groupBy("a").agg(F.sum("w").alias("t"))
-    step_edges = settle(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("t")).alias("w")))
-    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(seeds.select("id")).distinct()
-    nodes = settle(nodes.join(seeds, "id", "left").select("id", F.coalesce("p", F.lit(0.0)).alias("p")).join(out.select(F.col("a").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", "p", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-    state = nodes.select("id", F.col("p").alias("s"))
+    step = settle(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("t")).alias("w")))
+    ends = edges.select(F.col("a").alias("id"), F.lit(0.0).alias("p"), F.lit(1).alias("has")).union(edges.select("b", F.lit(0.0), F.lit(0))).union(seeds.select("id", "p", F.lit(0)))
+    nodes = settle(ends.groupBy("id").agg(F.max("p").alias("p"), (F.max("has") == 0).alias("dangling")))
+    watched = epsilon is not None or nodes.where("dangling").limit(1).count() > 0
+    mass = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("s"))), F.lit(0.0)).alias("lost")
+    state = nodes.withColumn("s", F.col("p")).withColumn("o", F.lit(0.0))
+    lost = state.agg(mass).first()[0] if watched else 0.0
     for i in range(rounds):
-        flow = step_edges.join(state, step_edges["a"] == state["id"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("w") * F.col("s")).alias("in"))
-        lost = state.join(nodes.where("dangling").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("d"))
-        new = nodes.join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", (alpha * F.coalesce("in", F.lit(0.0)) + ((1 - alpha) + alpha * F.col("d")) * F.col("p")).alias("s"))
-        if epsilon is not None or (i + 1) % every == 0:
-            new = settle(new)
-        if epsilon is not None:
-            change = new.join(state.withColumnRenamed("s", "o"), "id").agg(F.sum(F.abs(F.col("s") - F.col("o")))).first()[0] or 0.0
-            if change < epsilon:
-                state = new
+        flow = step.join(state.select(F.col("id").alias("a"), "s"), "a").select(F.col("b").alias("id"), (F.col("w") * F.col("s")).alias("f"), F.lit(0.0).alias("p"), F.lit(0.0).alias("o"), F.lit(False).alias("dangling"))
+        own = state.select("id", F.lit(0.0).alias("f"), "p", F.col("s").alias("o"), "dangling")
+        new = flow.unionByName(own).groupBy("id").agg(F.sum("f").alias("f"), F.max("p").alias("p"), F.max("o").alias("o"), F.max("dangling").alias("dangling"))
+        state = new.select("id", "p", "dangling", "o", (alpha * F.col("f") + ((1 - alpha) + alpha * lost) * F.col("p")).alias("s"))
+        if watched:
+            seen = Observation()
+            state = settle(state.observe(seen, mass, F.coalesce(F.sum(F.abs(F.col("s") - F.col("o"))), F.lit(0.0)).alias("change")))
+            lost = seen.get.get("lost") or 0.0
+            if epsilon is not None and (seen.get.get("change") or 0.0) < epsilon:
                 break
-        state = new
+        elif (i + 1) % every == 0:
+            state = settle(state)
     return state.select("id", F.col("s").alias("score"))
 
 
@@ -150,8 +158,8 @@ def communities(edges: DataFrame, algorithm: str = "louvain", gamma: float = 1.0
     """id, level, community (its smallest member id): Louvain (one level) or Leiden (refined, up to ``levels``).
 
     ``edges``: source_id, target_id, weight.  Repeated edges add up.  Components are found first; each is
-    one group for the sequential kernel.  A component of more than ``giant`` edges doesn't fit one task: it is
-    cut by synchronous label propagation over joins instead.
+    one group for the sequential kernel.  A component of more than ``giant`` edges doesn't fit one task: the same
+    moves, levels and refinement run over joins (:func:`moved_communities`).
     """
     ab = edges.where("source_id != target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("w"))
     ab = settle(ab)
@@ -195,23 +203,64 @@ def communities(edges: DataFrame, algorithm: str = "louvain", gamma: float = 1.0
     out = rows.join(F.broadcast(big) if big.count() < 10_000 else big, "component", "left_anti").groupBy("component").applyInPandas(kernel, "id string, level int, community string")
     if big.limit(1).count():
         part = rows.join(big, "component", "left_semi")
-        out = out.unionByName(label_propagation(part.select("a", "b", "w")).withColumn("level", F.lit(0)).select("id", "level", "community"))
+        out = out.unionByName(moved_communities(part.select("a", "b", "w"), gamma, levels if algorithm == "leiden" else 1, algorithm == "leiden", least, sweeps))
     return out
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, community: every node takes the label of most weight around it, even and odd hashes by turns."""
-    sym = settle(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    state = settle(sym.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
-    for i in range(rounds):
-        votes = sym.join(state, sym["b"] == state["id"]).groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("v"))
-        best = votes.groupBy("id").agg(F.min_by("c", F.struct(-F.col("v"), "c")).alias("n"))
-        new = settle(state.join(best, "id").select("id", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2, F.col("n")).otherwise(F.col("c")).alias("c")))
-        moved = new.join(state.withColumnRenamed("c", "o"), "id").where("c != o").limit(1).count()
-        state = new
-        if not moved and i % 2:
+def moved_communities(edges: DataFrame, gamma: float = 1.0, levels: int = 1, refine: bool = False, least: float = 1e-4, sweeps: int = 100) -> DataFrame:
+    """id, level, community by local moving over joins; ``edges``: a, b, w, each pair once.
+
+    Each sweep a part of the nodes, drawn by hash, moves at the same time to the neighbouring community with the
+    best gain of modularity; the parts take turns, so that neighbours seldom swap places.  A level ends when all
+    parts stand still.  ``refine`` lets communities that aren't connected fall apart; communities are the nodes
+    of the next level.  Gains are those of the whole graph given.
+
+    Plan: a sweep aggregates link weight by node and community and joins the communities' degrees, one row each;
+    the state, a row per node, is written as a table every sweep.
+    """
+    sym = written(edges.select("a", "b", "w").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    total = (sym.agg(F.sum("w")).first()[0] or 0.0) / 2
+    inside = written(sym.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")))
+    out, parts = None, 2
+    for level in range(levels):
+        degree = written(sym.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+        links = written(sym.where("a != b"))
+        state, still = degree.withColumn("c", F.col("id")), 0
+        for i in range(sweeps):
+            mass = state.groupBy("c").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("size"))
+            toward = links.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("t"))
+            near = state.select("id", "k", F.col("c").alias("own")).join(toward, "id").join(mass, "c")
+            turn = F.pmod(F.xxhash64("id", F.lit(i // parts)), F.lit(parts)) == i % parts
+            here = F.max(F.when(F.col("c") == F.col("own"), F.struct("t", "m"))).over(Window.partitionBy("id"))
+            near = near.where(turn).withColumn("here", here).join(mass.select(F.col("c").alias("own"), F.col("m").alias("mine"), F.col("size").alias("peers")), "own")
+            # two nodes alone don't swap their names: the one with the smaller name stays
+            near = near.where((F.col("size") > 1) | (F.col("peers") > 1) | (F.col("c") <= F.col("own")))
+            gain = (F.col("t") - F.coalesce("here.t", F.lit(0.0))) / total - gamma * F.col("k") * (F.col("m") - (F.col("mine") - F.col("k"))) / (2 * total * total)
+            best = near.where("c != own").withColumn("gain", gain).where(F.col("gain") > least).groupBy("id").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"))
+            state = written(state.join(best, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+            still = 0 if state.where("moved").limit(1).count() else still + 1
+            state = state.drop("moved")
+            if still >= parts:
+                break
+        home = state.select("id", "c")
+        if refine:  # the connected pieces of each community
+            same = links.join(home.withColumnRenamed("id", "a"), "a").join(home.select(F.col("id").alias("b"), F.col("c").alias("d")), "b").where("c = d").select("a", "b")
+            same = written(same)
+            pieces = components(same)
+            home = home.join(pieces, "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+        named = home.groupBy("c").agg(F.min("id").alias("name"))
+        home = written(home.join(named, "c").select("id", F.col("name").alias("c")))
+        new = written(inside.join(home.select(F.col("id").alias("c"), F.col("c").alias("to")), "c").select("id", F.col("to").alias("c")))
+        if level and not new.join(inside.withColumnRenamed("c", "o"), "id").where("c != o").limit(1).count():
             break
-    return state.select("id", F.col("c").alias("community"))
+        inside = new
+        rows = inside.select("id", F.lit(level).alias("level"), F.col("c").alias("community"))
+        out = rows if out is None else out.unionByName(rows)
+        to = lambda x: home.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+        sym = written(sym.join(to("a"), "a").join(to("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        if sym.select("a").distinct().limit(2).count() < 2:
+            break
+    return out
 
 
 def neighbour_votes(new: DataFrame, edges: DataFrame, membership: DataFrame) -> DataFrame:

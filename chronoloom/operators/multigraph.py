@@ -31,17 +31,15 @@ def fuse(lists: dict[str, DataFrame], weights: dict[str, float], k: int = 60) ->
     return g.select("id", (F.col("s") * F.pow(F.lit(1.3), F.col("views") - 1)).alias("score"), "views")
 
 
-def entity_edges(items: DataFrame, most: int = 20) -> DataFrame:
-    """a, b, weight: entities named in one item, with the number of items they share x 0.5.
+def entity_edges(items: DataFrame) -> DataFrame:
+    """a, b, weight: entities named in one item, with the number of items they share x 0.5; every pair counts.
 
-    Of an item with more than ``most`` entities all neighbours in id order are linked instead of all pairs, so
-    no item makes a quadratic number of edges.
+    The pairs of an item come out of its own row, entity by entity, so that an item with many is many small rows.
     """
-    e = items.select("id", F.array_sort(F.array_distinct("entity_ids")).alias("e")).where("size(e) > 1")
-    pairs = F.flatten(F.transform("e", lambda a, i: F.transform(F.slice("e", i + 2, F.greatest(F.size("e") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    chain = F.transform(F.sequence(F.lit(1), F.size("e") - 1), lambda i: F.struct(F.element_at("e", i).alias("a"), F.element_at("e", i + 1).alias("b")))
-    rows = e.select(F.explode(F.when(F.size("e") <= most, pairs).otherwise(chain)).alias("z"))
-    return rows.groupBy("z.a", "z.b").agg((F.count(F.lit(1)) * 0.5).alias("weight"))
+    e = items.select("id", F.array_sort(F.array_distinct(F.filter("entity_ids", lambda x: x.isNotNull()))).alias("e")).where("size(e) > 1")
+    one = e.select("e", F.posexplode("e").alias("i", "a")).where("i + 1 < size(e)")
+    rows = one.select("a", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("b"))
+    return rows.groupBy("a", "b").agg((F.count(F.lit(1)) * 0.5).alias("weight"))
 
 
 def causal_edges(items: DataFrame, least: float = 0.6) -> DataFrame:

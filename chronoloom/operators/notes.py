@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scores
 from chronoloom.functions import text as T
 from chronoloom.operators import graph as G
+from chronoloom.session import settle
 
 
 def notes(items: DataFrame) -> DataFrame:
@@ -16,21 +17,59 @@ def notes(items: DataFrame) -> DataFrame:
     return items.where("content IS NOT NULL").select("id", T.note_keywords(F.col("content")).alias("keywords"), strength.alias("strength"))
 
 
-def keyword_links(rows: DataFrame, least: int = 2, most: int = 10, common: float = 0.05) -> DataFrame:
-    """a, b, score (Jaccard) of notes that share at least ``least`` keywords, the ``most`` best of each.
+#: Least Jaccard scores that are looked for in turn; most notes have their best links at the first.
+LEVELS = (0.6, 0.35, 0.0)
 
-    Keywords of more than the share ``common`` of all notes don't make candidates (they still count in the
-    score), so a word that a third of all notes have pairs up nobody.
+
+def keyword_links(rows: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
+    """a, b, score (Jaccard) of notes that share at least ``least`` keywords, the ``most`` best of each, exactly.
+
+    ``rows``: id, keywords.  Of equal scores the smaller id comes first.  Null and short lists link to nobody.
+
+    Plan: notes with the same keywords are one set with its smallest ids, so copies pair up nowhere.  Sets meet by
+    prefix filtering: words are ordered by rarity, and two sets whose score is at least t share one of the
+    first size - max(least, t size) + 1 words of each.  A set that has its links at one level of t asks no
+    more at the next; at the last level any two sets with ``least`` words in common meet.
     """
-    words = rows.select("id", F.explode("keywords").alias("w"))
-    n = rows.count()
-    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= F.greatest(F.lit(2.0), F.lit(common * n))))
-    x = words.join(rare.select("w"), "w")
-    pairs = x.select(F.col("id").alias("a"), "w").join(x.select(F.col("id").alias("b"), "w"), "w").where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    k = lambda side: rows.select(F.col("id").alias(side), F.col("keywords").alias(f"k{side}"))
-    scored = pairs.join(k("a"), "a").join(k("b"), "b").select("a", "b", T.jaccard(F.col("ka"), F.col("kb")).alias("score"))
+    own = rows.where("id IS NOT NULL AND keywords IS NOT NULL").select("id", F.array_sort(F.array_distinct("keywords")).alias("ws")).where(F.size("ws") >= least)
+    first = Window.partitionBy("ws").orderBy("id")
+    ranked = own.withColumn("r", F.row_number().over(first))
+    named = ranked.groupBy("ws").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= most + 1, F.col("id")))).alias("ids"))
+    named = settle(named.withColumn("set", F.xxhash64("ws", F.size("ws"))))
+    word = named.select("set", F.explode("ws").alias("w"))
+    often = word.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    order = word.join(often, "w").groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda z: z["w"]).alias("ordered"))
+    sets = settle(named.join(order, "set"))
+    left, found = sets.select("set", "n", "ordered"), None
+    for level in LEVELS:
+        need = F.greatest(F.lit(least), F.ceil(F.size("ordered") * level).cast("int"))
+        head = F.explode(F.slice("ordered", F.lit(1), F.size("ordered") - need + 1)).alias("w")
+        asks, has = left.select(F.col("set").alias("x"), F.col("ordered").alias("xs"), head), sets.select(F.col("set").alias("y"), F.col("ordered").alias("ys"), F.col("n").alias("yn"), head)
+        met = asks.join(has.select("y", "w"), "w").where("x != y").select("x", "y").distinct()
+        met = met.join(left.select(F.col("set").alias("x"), F.col("ordered").alias("xs")), "x").join(sets.select(F.col("set").alias("y"), F.col("ordered").alias("ys"), F.col("n").alias("yn")), "y")
+        shared = F.size(F.array_intersect("xs", "ys"))
+        pairs = met.withColumn("shared", shared).where(F.col("shared") >= least)
+        pairs = pairs.withColumn("score", F.col("shared") / (F.size("xs") + F.size("ys") - F.col("shared"))).where(F.col("score") >= level)
+        # of a set's best partners so many that their notes make up what is wanted
+        before = Window.partitionBy("x").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        pairs = pairs.select("x", "y", "score", "yn").withColumn("upto", F.sum("yn").over(before))
+        groups = pairs.groupBy("x", "score", "upto").agg(F.sum("yn").alias("here"))
+        pairs = settle(pairs.join(groups, ["x", "score", "upto"]).where((F.col("upto") - F.col("here")) < most).select("x", "y", "score", "upto"))
+        enough = pairs.groupBy("x").agg(F.max("upto").alias("total")).join(left.select(F.col("set").alias("x"), "n"), "x").where(F.col("total") + F.col("n") - 1 >= most).select("x")
+        if level == LEVELS[-1]:
+            part = pairs
+        else:
+            part = pairs.join(enough, "x", "left_semi")
+            left = settle(left.join(enough.withColumnRenamed("x", "set"), "set", "left_anti"))
+        found = part.select("x", "y", "score") if found is None else found.unionByName(part.select("x", "y", "score"))
+    ids = sets.select(F.col("set").alias("y"), "ids")
+    same = sets.where("n > 1").select(F.col("set").alias("x"), F.col("set").alias("y"), F.lit(1.0).alias("score"))
+    listed = found.unionByName(same).join(ids, "y").select("x", F.explode("ids").alias("b"), "score")
+    best = Window.partitionBy("x").orderBy(F.desc("score"), "b")
+    listed = listed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most + 1).select(F.col("x").alias("set"), "b", "score")
+    members = own.join(sets.select("ws", "set"), "ws").select(F.col("id").alias("a"), "set")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    return members.join(listed, "set").where("a != b").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("a", "b", "score")
 
 
 def grow(rows: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
@@ -50,6 +89,6 @@ def search(rows: DataFrame, links: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def retained(rows: DataFrame, last: DataFrame, now: Column, least: float = 0.2) -> DataFrame:
-    """id, retention of notes that aren't forgotten; ``last``: id, at of the last access."""
-    hours = (F.unix_seconds(now) - F.unix_seconds("at")) / 3600.0
+    """id, retention of notes that aren't forgotten; ``last``: id, at of the last access (one after now counts as now)."""
+    hours = F.greatest(F.unix_seconds(now) - F.unix_seconds("at"), F.lit(0)) / 3600.0
     return rows.join(last, "id").select("id", scores.retention(hours, F.col("strength")).alias("retention")).where(F.col("retention") >= least)

@@ -269,51 +269,160 @@ RECIPES = {
 }
 
 
+#: Semantic hits that seed the PageRank channel.
+PPR_SEEDS = 5
+
+
+def semantic_hits(rows: DataFrame, query: str, k: int, embed=V.hash_embedding) -> DataFrame:  # noqa: ANN001
+    """id, score: the k rows (id, text) with the highest cosine of their embedding to the query's."""
+    vector = V.cosine(embed(F.lower("text")), embed(F.lit(query.lower())))
+    return rows.where("text IS NOT NULL").select("id", vector.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def ppr_hits(semantic: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """id, score of Personalised PageRank (0.85, 20 rounds, 1e-8) around the best PPR_SEEDS semantic hits.
+
+    ``edges``: source_id, target_id.  The walk runs over the edges at the seeds, in their direction; seeds
+    weigh by their score.  Without positive seeds or edges there are no hits.
+    """
+    from chronoloom.operators import graph as G
+    from chronoloom.session import settle
+
+    seeds = settle(semantic.orderBy(F.desc("score"), "id").limit(PPR_SEEDS).where("score > 0"))
+    total = seeds.agg(F.sum("score")).first()[0]
+    if not total:
+        return seeds.limit(0)
+    ids = [r["id"] for r in seeds.select("id").collect()]  # PPR_SEEDS at most
+    near = edges.where(F.col("source_id").isin(ids) | F.col("target_id").isin(ids))
+    near = settle(near.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(1.0).alias("w")))
+    if not near.limit(1).count():
+        return seeds.limit(0)
+    ranked = G.pagerank(near, seeds.select("id", (F.col("score") / total).alias("p")), 0.85, 20, 1e-8)
+    return ranked.where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+
+def hybrid_channels(rows: DataFrame, edges: DataFrame, query: str, k: int, seeds: list[str] | None = None, embed=V.hash_embedding) -> dict[str, DataFrame]:  # noqa: ANN001
+    """The ranked lists (id, score) of the four channels, 3 k each: semantic, keyword, ppr, traversal.
+
+    ``rows``: id, text; ``edges``: source_id, target_id.  PageRank starts at the best semantic hits, traversal
+    at ``seeds`` (two hops); a channel that has nothing to start from is an empty list.
+    """
+    from chronoloom.operators import graph as G
+    from chronoloom.session import settle
+
+    terms = [t for t in query.lower().split() if t not in T.STOP_WORDS and len(t) > 1]
+    semantic = settle(semantic_hits(rows, query, 3 * k, embed))
+    keyword = bm25(rows, "id", "text", terms, 3 * k) if terms else semantic.limit(0)
+    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    both = both.union(both.select("b", "a")).where("a != b").distinct()
+    found = None
+    for seed in seeds or []:
+        hops = G.hop_distances(both, seed, 2)
+        found = hops if found is None else found.unionByName(hops)
+    if found is None:
+        traversal = semantic.limit(0)
+    else:
+        near = found.groupBy("id").agg(F.min("distance").alias("distance")).where("distance > 0").join(rows.select("id"), "id", "left_semi").orderBy("distance", "id").limit(3 * k)
+        rank = F.row_number().over(Window.orderBy("distance", "id")) - 1  # 3 k rows
+        traversal = near.select("id", (1.0 / (1.0 + 0.3 * rank)).alias("score"))
+    return {"semantic": semantic, "keyword": keyword, "ppr": ppr_hits(semantic, edges, 3 * k).join(rows.select("id"), "id", "left_semi"), "traversal": traversal}
+
+
+def hybrid(rows: DataFrame, edges: DataFrame, query: str, k: int, seeds: list[str] | None = None, rerank: bool = True, embed=V.hash_embedding) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+    """Hits (id, score, sources) of the four channels, fused by weighted ranks and reranked by rules, and the stages (stage, n)."""
+    from chronoloom.session import settle
+
+    lists = {name: settle(df) for name, df in hybrid_channels(rows, edges, query, k, seeds, embed).items()}
+    stages = None
+    for name, df in lists.items():
+        part = df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n"))
+        stages = part if stages is None else stages.unionByName(part)
+    fused = rrf(lists, "id", CHANNELS)
+    if rerank:
+        fused = cross_encode(fused.join(rows, "id"), query).select("id", F.col("combined").alias("score"), F.concat_ws(",", "sources", F.lit("reranked")).alias("sources"))
+    return fused.orderBy(F.desc("score"), "id").limit(k), stages
+
+
+def _missing(recipe: Recipe, tables: dict[str, DataFrame], center: str | None, edges: DataFrame | None) -> list[str]:
+    """The inputs that a recipe asks for and hasn't got."""
+    out = [c for c in recipe.channels if c not in tables]
+    if edges is None and ({"bfs", "ppr", "drift"} & set(recipe.methods) or recipe.reranker == "node_distance"):
+        out.append("edges")
+    if center is None and ("bfs" in recipe.methods or recipe.reranker == "node_distance"):
+        out.append("center")
+    if recipe.reranker == "episode_mentions" and any("mentions" not in tables[c].columns for c in recipe.channels if c in tables):
+        out.append("mentions")
+    if "drift" in recipe.methods and "community" in tables and "importance" not in tables["community"].columns:
+        out.append("importance")
+    return out
+
+
 def run_recipe(recipe: Recipe, tables: dict[str, DataFrame], query: str, center: str | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """channel, id, score of a recipe over tables {channel: (id, text[, mentions])}.
+    """channel, id, score of a recipe over tables {channel: (id, text[, mentions][, importance])}.
 
-    Vectors are hashed embeddings of the text where a table has none.  rrf fuses the methods; the other
-    rerankers work on that fused top 3 x limit.
+    ``edges``: source_id, target_id[, weight].  Methods: bm25; cosine of hashed embeddings; bfs, 0.5 a hop from
+    the center; ppr, PageRank around the best semantic hits; drift, local search for entities and global search
+    for communities, weighted as the adaptive mode does.  rrf fuses the methods; the other rerankers work on
+    that fused top 3 x limit.  An input that the recipe needs and hasn't got is an error.
     """
     from chronoloom.operators import graph as G
+    from chronoloom.session import settle
 
-    out = None
+    if lacks := _missing(recipe, tables, center, edges):
+        raise ValueError(f"{recipe.name} needs {', '.join(lacks)}")
+    pool, hops, out = recipe.limit * 3, None, None
+    if center is not None and edges is not None and ("bfs" in recipe.methods or recipe.reranker == "node_distance"):
+        both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+        hops = G.hop_distances(both.union(both.select("b", "a")).where("a != b").distinct(), center, 3)
+        hops = settle(hops.select("id", F.pow(F.lit(0.5), F.col("distance")).alias("near")))
+    drift = {}
+    if "drift" in recipe.methods:
+        weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+        local = drift_local(query, edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), weight.alias("weight")), tables["entity"].where("text IS NOT NULL").select("id", "text"))
+        local, whole = settle(local.select("id", "score")), drift_global(query, tables["community"])
+        share = (0.7, 0.3) if not local.limit(1).count() else (0.4, 0.6)
+        drift = {"community": whole.withColumn("score", F.col("score") * share[0]), "entity": local.withColumn("score", F.col("score") * share[1])}
     for channel in recipe.channels:
-        if channel not in tables:
-            continue
         df = tables[channel].where("text IS NOT NULL")
-        pool = recipe.limit * 3
         found: dict[str, DataFrame] = {}
         terms = [t for t in query.lower().split() if t not in T.STOP_WORDS and len(t) > 1]
-        embed = V.hash_embedding(F.lower("text"))
         if "bm25" in recipe.methods:
             found["keyword"] = bm25(df, "id", "text", terms, pool)
-        if "cosine" in recipe.methods or "drift" in recipe.methods:
-            found["semantic"] = df.select("id", V.cosine(embed, V.hash_embedding(F.lit(query.lower()))).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
-        if {"bfs", "ppr"} & set(recipe.methods) and edges is not None and center is not None:
-            hops = G.hop_distances(edges, center, 3)
-            found["traversal"] = hops.join(df.select("id"), "id", "left_semi").select("id", F.pow(F.lit(0.5), F.col("distance")).alias("score")).orderBy(F.desc("score"), "id").limit(pool)
-        if not found:
-            continue
-        fused = rrf(found, "id").select("id", "score")
+        if "cosine" in recipe.methods or "ppr" in recipe.methods:
+            found["semantic"] = settle(semantic_hits(df, query, pool))
+        if "ppr" in recipe.methods:
+            seeds = found["semantic"] if channel == "entity" or "entity" not in tables else semantic_hits(tables["entity"], query, pool)
+            walk = ppr_hits(seeds, edges, pool)
+            if channel == "relationship":  # an edge is as near as its nearer end
+                ends = edges.select("id", F.explode(F.array("source_id", "target_id")).alias("end"))
+                walk = ends.join(walk.withColumnRenamed("id", "end"), "end").groupBy("id").agg(F.max("score").alias("score"))
+            found["ppr"] = walk.join(df.select("id"), "id", "left_semi")
+        if "bfs" in recipe.methods:
+            near = hops.withColumnRenamed("near", "score")
+            if channel == "relationship":
+                ends = edges.select("id", F.explode(F.array("source_id", "target_id")).alias("end"))
+                near = ends.join(near.withColumnRenamed("id", "end"), "end").groupBy("id").agg(F.max("score").alias("score"))
+            found["traversal"] = near.join(df.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(pool)
+        if channel in drift:
+            found["drift"] = drift[channel]
+        fused = settle(rrf(found, "id").select("id", "score")) if "drift" not in found else found["drift"]
         if recipe.reranker == "cross_encoder":
             fused = cross_encode(fused.join(df, "id"), query).select("id", F.col("combined").alias("score"))
         elif recipe.reranker == "mmr":
-            from chronoloom.session import settle
-
-            v = df.select("id", embed.alias("v"))
             q = df.sparkSession.range(1).select(V.hash_embedding(F.lit(query.lower())).alias("q")).first()[0]
-            pool_rows = settle(fused.orderBy(F.desc("score"), "id").limit(pool).join(v, "id"))
-            fused = mmr(pool_rows, q, recipe.limit, recipe.options.get("lambda", 0.7)).select("id", F.col("score"))
-        elif recipe.reranker == "episode_mentions" and "mentions" in df.columns:
+            rows = fused.orderBy(F.desc("score"), "id").limit(pool).join(df.select("id", V.hash_embedding(F.lower("text")).alias("v")), "id")
+            fused = mmr(settle(rows), q, recipe.limit, recipe.options.get("lambda", 0.7)).select("id", F.col("score"))
+        elif recipe.reranker == "episode_mentions":
             top = df.agg(F.max("mentions").alias("m"))
-            fused = fused.join(df.select("id", "mentions"), "id").crossJoin(F.broadcast(top)).select("id", (F.col("mentions") / F.col("m")).alias("score"))
-        elif recipe.reranker == "node_distance" and edges is not None and center is not None:
-            fused = fused.join(G.hop_distances(edges, center, 3), "id", "left").select("id", F.when(F.col("distance").isNotNull(), F.pow(F.lit(0.5), F.col("distance"))).otherwise(0.0).alias("score"))
+            fused = fused.join(df.select("id", "mentions"), "id").crossJoin(F.broadcast(top)).select("id", F.coalesce(F.col("mentions") / F.col("m"), F.lit(0.0)).alias("score"))
+        elif recipe.reranker == "node_distance":
+            near = hops
+            if channel == "relationship":
+                ends = edges.select("id", F.explode(F.array("source_id", "target_id")).alias("end"))
+                near = ends.join(hops.withColumnRenamed("id", "end"), "end").groupBy("id").agg(F.max("near").alias("near"))
+            fused = fused.join(near, "id", "left").select("id", F.coalesce("near", F.lit(0.0)).alias("score"))
         part = fused.where(F.col("score") >= recipe.min_score).orderBy(F.desc("score"), "id").limit(recipe.limit).select(F.lit(channel).alias("channel"), "id", "score")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError(f"no table for any channel of {recipe.name}")
     return out
 
 

@@ -89,16 +89,24 @@ def allen(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def temporal_edges(items: DataFrame, window_days: int) -> DataFrame:
-    """Neighbours in time: pairs whose starts are at most ``window_days`` apart, weight 1 / (1 + hours / 24).
+    """Neighbours in time: a, b, weight = 1 / (1 + whole hours between the starts / 24).
 
-    ``items``: id, grp, at.  A band join as an equi-join on (grp, bucket), each item looking at its own and
-    the next bucket; it emits the pairs it is asked for, so the window bounds it.
+    ``items``: id, at (start), until, seq (order of arrival, any type that can be ordered).  An item a meets every
+    item b that arrived before it and starts from ``window_days`` before a starts to the end of a, or as long
+    after its start where a is open.  Items without start meet nobody.
+
+    Plan: a range join as an equi-join on buckets as long as the window; an item looks into all buckets that its
+    range touches.  It emits the pairs it is asked for; hot buckets are left to the skew join.
     """
     width = window_days * 86400
-    x = items.select("grp", F.col("id").alias("a"), F.unix_seconds("at").alias("sa")).withColumn("b0", F.explode(F.array(F.floor(F.col("sa") / width), F.floor(F.col("sa") / width) + 1)))
-    y = items.select("grp", F.col("id").alias("b"), F.unix_seconds("at").alias("sb")).withColumn("b0", F.floor(F.col("sb") / width))
-    near = x.join(y, ["grp", "b0"]).where("(sb > sa OR (sb = sa AND b > a)) AND sb - sa <= {}".format(width))
-    return near.select("a", "b", (1.0 / (1.0 + F.floor((F.col("sb") - F.col("sa")) / 3600) / 24.0)).alias("weight"))
+    s = lambda c: F.unix_seconds(c)
+    rows = items.where("at IS NOT NULL")
+    end = F.coalesce(s("until"), s("at") + width)
+    x = rows.select(F.col("id").alias("a"), F.col("seq").alias("qa"), s("at").alias("sa"), end.alias("ea")).where(F.col("ea") >= F.col("sa") - width)
+    x = x.withColumn("k", F.explode(F.sequence(F.floor((F.col("sa") - width) / width), F.floor(F.col("ea") / width))))
+    y = rows.select(F.col("id").alias("b"), F.col("seq").alias("qb"), s("at").alias("sb")).withColumn("k", F.floor(F.col("sb") / width))
+    near = x.join(y, "k").where((F.col("qb") < F.col("qa")) & F.col("sb").between(F.col("sa") - width, F.col("ea")))
+    return near.select("a", "b", (1.0 / (1.0 + F.floor(F.abs(F.col("sb") - F.col("sa")) / 3600) / 24.0)).alias("weight"))
 
 
 def decayed(entities: DataFrame, degrees: DataFrame, now: Column, rate: float = 0.001) -> DataFrame:

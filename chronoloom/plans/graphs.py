@@ -64,7 +64,7 @@ def _(spark, d):
 
 
 def _ppr_sql(rounds: int) -> str:
-    e = f"WITH {SMALL}, g AS (SELECT source_id AS a, target_id AS b FROM small WHERE source_id NOT LIKE 'customer:%' UNION ALL SELECT target_id, source_id FROM small WHERE source_id NOT LIKE 'customer:%'), o AS (SELECT a, count(*) AS t FROM g GROUP BY a), n AS (SELECT DISTINCT a AS id, CASE WHEN a = 'nation:3' THEN 1e0 ELSE 0e0 END AS p FROM g), s0 AS (SELECT id, p AS s FROM n)"
+    e = f"WITH {SMALL}, g AS (SELECT source_id AS a, target_id AS b FROM small UNION ALL SELECT target_id, source_id FROM small), o AS (SELECT a, count(*) AS t FROM g GROUP BY a), n AS (SELECT DISTINCT a AS id, CASE WHEN a = 'nation:3' THEN 1e0 ELSE 0e0 END AS p FROM g), s0 AS (SELECT id, p AS s FROM n)"
     for i in range(rounds):
         e += f", s{i + 1} AS MATERIALIZED (SELECT n.id, 0.85e0 * coalesce(f.x, 0) + 0.15e0 * n.p AS s FROM n LEFT JOIN (SELECT g.b AS id, sum(s.s / o.t) AS x FROM g JOIN o USING (a) JOIN s{i} s ON s.id = g.a GROUP BY g.b) f USING (id))"
     return e + f" SELECT id, round(s, 6) AS score FROM s{rounds}"
@@ -72,7 +72,7 @@ def _ppr_sql(rounds: int) -> str:
 
 @query("ppr_20", _ppr_sql(20))
 def _(spark, d):
-    g = V.small_graph(spark, d).where("source_id NOT LIKE 'customer:%'")
+    g = V.small_graph(spark, d)
     e = g.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(1.0).alias("w"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     return G.pagerank(e, spark.createDataFrame([("nation:3", 1.0)], "id string, p double")).select("id", F.round("score", 6).alias("score"))
@@ -345,7 +345,7 @@ def _(spark, d):
 
 @query("entity_cooccurrence", f"""WITH {MEM}, e AS (SELECT id, list_sort(list_distinct(entity_ids)) AS e FROM mem WHERE len(list_distinct(entity_ids)) > 1), x AS (SELECT id, unnest(e) AS n, generate_subscripts(e, 1) AS i FROM e) SELECT p.n AS a, q.n AS b, count(*) * 0.5e0 AS weight FROM x p JOIN x q ON p.id = q.id AND p.i < q.i GROUP BY ALL""")
 def _(spark, d):
-    return MG.entity_edges(V.memory(spark, d).where("entity_ids IS NOT NULL"), most=1000)
+    return MG.entity_edges(V.memory(spark, d).where("entity_ids IS NOT NULL"))
 
 
 @query("temporal_view", f"WITH {MEM}, s AS (SELECT id, 1e0 / (1e0 + floor((epoch(TIMESTAMP '{AT}')::BIGINT - epoch(valid_from)::BIGINT) / 86400) / 30e0) AS score FROM mem WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_until IS NULL OR TIMESTAMP '{AT}' < valid_until)) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 40")
@@ -368,8 +368,10 @@ def _(spark, d):
 
 @query("multigraph_stats")
 def _(spark, d):
-    m = V.memory(spark, d).where("entity_ids IS NOT NULL")
-    return MG.stats({"entity": MG.entity_edges(m), "causal": MG.causal_edges(m), "temporal": D.temporal_edges(m.where("tier = 'semantic'").select("id", F.col("tier").alias("grp"), F.col("created_at").alias("at")), 7)})
+    m = V.memory(spark, d)
+    e = m.where("entity_ids IS NOT NULL")
+    at = m.select("id", F.col("valid_from").alias("at"), F.col("valid_until").alias("until"), F.struct("created_at", "id").alias("seq"))
+    return MG.stats({"entity": MG.entity_edges(e), "causal": MG.causal_edges(e), "temporal": D.temporal_edges(at, 7)})
 
 
 @query("tool_plan")
@@ -437,10 +439,10 @@ def _(spark, d):
 def _notes(spark, d):
     from chronoloom.operators import notes as N
 
-    return N, N.notes(V.memory(spark, d).where("tier IN ('working', 'procedural')"))
+    return N, N.notes(V.memory(spark, d))
 
 
-@query("note_strength", f"WITH {MEM} SELECT id, least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) AS strength FROM mem WHERE content IS NOT NULL AND tier IN ('working', 'procedural')")
+@query("note_strength", f"WITH {MEM} SELECT id, least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) AS strength FROM mem WHERE content IS NOT NULL")
 def _(spark, d):
     return _notes(spark, d)[1].select("id", "strength")
 
@@ -463,7 +465,7 @@ def _(spark, d):
     return N.search(rows, N.keyword_links(rows), "review the ranking function", 20)
 
 
-@query("note_retention", f"WITH {MEM} SELECT id, round(exp(-floor((epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)), 6) AS retention FROM mem WHERE content IS NOT NULL AND tier IN ('working', 'procedural') AND exp(-floor((epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)) >= 0.000001")
+@query("note_retention", f"WITH {MEM} SELECT id, round(exp(-floor(greatest(epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT, 0) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)), 6) AS retention FROM mem WHERE content IS NOT NULL AND exp(-floor(greatest(epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT, 0) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)) >= 0.000001")
 def _(spark, d):
     N, rows = _notes(spark, d)
     last = V.memory(spark, d).select("id", F.col("last_accessed").alias("at"))

@@ -219,10 +219,13 @@ def _(spark, d):
     return n.groupBy(F.least("query", "other").alias("a"), F.greatest("query", "other").alias("b")).agg(F.round(F.max("score"), 4).alias("weight"))
 
 
-@query("interval_neighbours", f"""WITH {MEM}, i AS (SELECT id, tier AS grp, created_at AS at FROM mem WHERE tier = 'working') SELECT a.id AS a, b.id AS b, round(1.0 / (1.0 + floor((epoch(b.at)::BIGINT - epoch(a.at)::BIGINT) / 3600) / 24.0), 6) AS weight
-FROM i a JOIN i b ON (b.at > a.at OR (b.at = a.at AND b.id > a.id)) AND epoch(b.at)::BIGINT - epoch(a.at)::BIGINT <= 30 * 86400""")
+@query(
+    "interval_neighbours",
+    f"""WITH {MEM}, i AS (SELECT id, epoch(valid_from)::BIGINT AS s, coalesce(epoch(valid_until)::BIGINT, epoch(valid_from)::BIGINT + 30 * 86400) AS e, row_number() OVER (ORDER BY created_at NULLS FIRST, id) AS q FROM mem WHERE valid_from IS NOT NULL)
+SELECT a.id AS a, b.id AS b, round(1.0 / (1.0 + floor(abs(b.s - a.s) / 3600) / 24.0), 6) AS weight FROM i a JOIN i b ON b.q < a.q AND b.s BETWEEN a.s - 30 * 86400 AND a.e""",
+)
 def _(spark, d):
-    i = V.memory(spark, d).where("tier = 'working'").select("id", F.col("tier").alias("grp"), F.col("created_at").alias("at"))
+    i = V.memory(spark, d).select("id", F.col("valid_from").alias("at"), F.col("valid_until").alias("until"), F.struct("created_at", "id").alias("seq"))
     return D.temporal_edges(i, 30).select("a", "b", F.round("weight", 6).alias("weight"))
 
 

@@ -408,18 +408,49 @@ def _(spark, d):
     return X.sections(docs(spark, d).where("source IN ('wiki_page', 'manual')"), "doc_id", "text")
 
 
-@query("recipe_entities")
+_ASK = "institute of network science"
+
+
+def _recipe(name: str):
+    """A recipe over the whole graph: entities, facts, documents and the groups of entities as communities."""
+
+    def run(spark, d):
+        from chronoloom.operators import graph as G
+
+        e, r = V.entities(spark, d), V.relationships(spark, d)
+        seen = r.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("mentions"))
+        entity = e.select("id", F.concat_ws(" ", "name", "summary").alias("text")).join(seen, "id", "left")
+        groups = G.summaries(e.where("group_id IS NOT NULL").select("id", F.col("group_id").alias("community")), e)
+        tables = {
+            "entity": entity, "relationship": r.select("id", F.col("fact").alias("text")), "episode": docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text"),
+            "community": groups.select(F.col("community").alias("id"), F.col("summary").alias("text"), F.lit(0.5).alias("importance")),
+        }
+        center = r.agg(F.min("source_id")).first()[0]
+        return R.run_recipe(R.RECIPES[name], tables, _ASK, center, r.select("id", "source_id", "target_id", F.lit(1.0).alias("weight"))).select("channel", "id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _name in R.RECIPES:
+    QUERIES[f"recipe_{_name}"] = _recipe(_name)
+
+
+@query(
+    "hybrid_stages",
+    f"""WITH {ENT}, {REL}, t AS (SELECT id, list_filter(string_split_regex(lower(concat_ws(' ', name, summary)), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: strlen(w) > 1) AS ws FROM ent)
+SELECT 'semantic' AS stage, least(45, (SELECT count(*) FROM ent))::BIGINT AS n UNION ALL SELECT 'keyword', least(45, (SELECT count(*) FROM t WHERE list_has_any(ws, ['institute', 'network', 'science'])))::BIGINT""",
+)
 def _(spark, d):
-    e = V.entities(spark, d).select("id", F.concat_ws(" ", "name", "summary").alias("text"))
-    return R.run_recipe(R.RECIPES["entity_hybrid_mmr"], {"entity": e}, "institute of network science")
+    rows = V.entities(spark, d).select("id", F.concat_ws(" ", "name", "summary").alias("text"))
+    return R.hybrid(rows, V.relationships(spark, d), _ASK, 15)[1].where("stage IN ('semantic', 'keyword')")
 
 
-@query("recipe_combined")
+@query("hybrid_graph")
 def _(spark, d):
-    e = V.entities(spark, d).select("id", F.concat_ws(" ", "name", "summary").alias("text"))
-    r = V.relationships(spark, d).select("id", F.col("fact").alias("text"))
-    p = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")
-    return R.run_recipe(R.RECIPES["combined_hybrid_cross_encoder"], {"entity": e, "relationship": r, "episode": p}, "research centre memory")
+    rows = V.entities(spark, d).select("id", F.concat_ws(" ", "name", "summary").alias("text"))
+    r = V.relationships(spark, d)
+    start = r.agg(F.min("source_id")).first()[0]
+    return R.hybrid(rows, r, _ASK, 15, [start])[0].select("id", F.round("score", 6).alias("score"), "sources")
 
 
 @query("greedy_context")

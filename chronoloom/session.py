@@ -49,3 +49,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for loops of many joins.
+
+    A checkpoint keeps the estimated size of the plan it cuts off; a state that is joined and checkpointed over and
+    over comes to sizes of millions of digits.  A table has its true size.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
