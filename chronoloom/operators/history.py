@@ -7,7 +7,6 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -154,16 +153,21 @@ def state_history(rows: DataFrame, tolerance_us: int = 1_000_000, hot: int = HOT
     return whole.withColumn("until_us", F.when(F.col("until_us") < OPEN_US, F.col("until_us")))
 
 
+#: Reports of a bucket of the store, about.
+BUCKET_ROWS = 250_000
+
+
 class ChainStore:
     """Raw reports and the chains built from them, in a folder that all executors share.
 
     ``apply`` takes a batch of late or corrected reports: it finds the touched keys, reads only their raw
-    reports, rebuilds all their intervals and replaces those chains at once.  Data lie in hash buckets; a
+    reports, rebuilds all their intervals and replaces those chains at once.  Data lie in hash buckets, as many as
+    the first batch asks for (BUCKET_ROWS reports each, 32 at least; the manifest keeps the number); a
     manifest names the folders that make up each bucket and is replaced by one rename, so a reader sees the
     chains before or after a batch, never between, and a job that dies leaves the old state.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, tolerance_us: int = 1_000_000, hot: int = HOT):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, tolerance_us: int = 1_000_000, hot: int = HOT):
         self.spark, self.path, self.buckets, self.tolerance_us, self.hot = spark, path.rstrip("/"), buckets, tolerance_us, hot
 
     def _fs(self, name: str):
@@ -183,15 +187,16 @@ class ChainStore:
 
     def _publish(self, manifest: dict) -> None:
         data = json.dumps(manifest)
-        parts = urlparse(self.path)
-        if parts.scheme in ("", "file"):
-            temporary = f"{parts.path}/MANIFEST.{uuid.uuid4().hex}"
-            os.makedirs(parts.path, exist_ok=True)
+        target, fs = self._fs("MANIFEST")
+        if fs.getUri().getScheme() == "file":  # the file system that _manifest reads, whatever the path says
+            folder = os.path.dirname(fs.makeQualified(target).toUri().getPath())
+            temporary = f"{folder}/MANIFEST.{uuid.uuid4().hex}"
+            os.makedirs(folder, exist_ok=True)
             with open(temporary, "w") as out:
                 out.write(data)
                 out.flush()
                 os.fsync(out.fileno())
-            os.replace(temporary, f"{parts.path}/MANIFEST")
+            os.replace(temporary, f"{folder}/MANIFEST")
             return
         temporary, fs = self._fs(f"MANIFEST.{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
@@ -203,13 +208,10 @@ class ChainStore:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(temporary, self._fs("MANIFEST")[0], options)
 
-    def _hash(self):
-        return F.pmod(F.xxhash64("k"), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, name: str, spread: int = 1) -> dict[str, list[str]]:
-        salt = F.pmod(F.xxhash64("k", "from_us" if "from_us" in df.columns else "s"), F.lit(spread))
+    def _write(self, df: DataFrame, name: str, buckets: int) -> dict[str, list[str]]:
+        """Folders by bucket.  Rebalancing splits a bucket with a hot key into tasks of the advised size, and joins small ones."""
         at = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.withColumn("h", self._hash()).repartition("h", salt).write.partitionBy("h").parquet(at)
+        df.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).hint("rebalance", "h").write.partitionBy("h").parquet(at)
         path, fs = self._fs(at[len(self.path) + 1 :])
         found = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("h=")]
         return {x[2:]: [f"{at}/{x}"] for x in found}
@@ -225,7 +227,9 @@ class ChainStore:
     def apply(self, batch: DataFrame) -> None:
         """Add reports and bring the chains of the touched keys up to date."""
         manifest = self._manifest()
-        fresh = self._write(batch.select("k", "s", "e", "p1", "p2", "v"), "raw", spread=4)
+        batch = batch.select("k", "s", "e", "p1", "p2", "v")
+        buckets = manifest.get("buckets") or self.buckets or max(32, -(-batch.count() // BUCKET_ROWS))
+        fresh = self._write(batch, "raw", buckets)
         touched = self._read([x for y in fresh.values() for x in y], self.RAW).select("k").distinct()
         raw = {h: manifest["raw"].get(h, []) + fresh.get(h, []) for h in {*manifest["raw"], *fresh}}
         old = [x for h in fresh for x in manifest["chains"].get(h, [])]
@@ -235,8 +239,8 @@ class ChainStore:
         rebuilt = state_history(reached, self.tolerance_us, self.hot)
         if old:
             rebuilt = self._read(old, self.CHAINS).join(touched, "k", "left_anti").unionByName(rebuilt)
-        chains = {h: x for h, x in manifest["chains"].items() if h not in fresh} | self._write(rebuilt, "chains")
-        self._publish({"raw": raw, "chains": chains})
+        chains = {h: x for h, x in manifest["chains"].items() if h not in fresh} | self._write(rebuilt, "chains", buckets)
+        self._publish({"buckets": buckets, "raw": raw, "chains": chains})
 
     def chains(self) -> DataFrame:
         """The chains as of the last batch: k, from_us, until_us (null: open), v."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("periods", "relational", "search", "graphs")
+MODULES = ("periods", "relational", "search", "graphs", "upkeep")
 
 
 def _gather(name: str) -> dict:

@@ -29,10 +29,12 @@ def local_session(cpus: int | str = "*", app: str = "chronoloom", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is (tests, one machine)."""
+    """The checkpoint folder of the session; a temporary one is set only where none is and all run on one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():

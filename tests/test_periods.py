@@ -140,3 +140,18 @@ def test_chain_store_replaces_touched_chains_only(spark):
     assert sorted(map(str, store.chains().collect())) == sorted(map(str, state_history(all_).collect()))
     store.apply(late.where(F.lit(False)))
     assert store.chains().count() == state_history(all_).count()
+
+
+def test_buckets_of_the_store_follow_the_first_batch(spark, tmp_path, monkeypatch):
+    from chronoloom.operators import history as H
+
+    monkeypatch.setattr(H, "BUCKET_ROWS", 5)
+    rows = [(f"k{i % 40}", i, i + 5, i, 0, str(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, H.ChainStore.RAW)
+    store = H.ChainStore(spark, f"{tmp_path}/s")
+    store.apply(df.where("s < 300"))
+    assert store._manifest()["buckets"] == 60
+    store.apply(df.where("s >= 300"))
+    assert store._manifest()["buckets"] == 60
+    whole = sorted(map(tuple, H.state_history(df).collect()))
+    assert sorted(map(tuple, store.chains().collect())) == whole
