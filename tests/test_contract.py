@@ -10,8 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from chronoloom.plans import all_oracles, all_queries  # noqa: E402
 from verify import normal  # noqa: E402
 
-SLOW = {"ppr_20", "streamed_tiers", "ingested_counts", "note_search", "note_growth"}
-
 
 @pytest.fixture(scope="session")
 def con(sf):
@@ -22,7 +20,7 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, sf, con, name):
     df = all_queries()[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
