@@ -26,7 +26,10 @@ def importance(base: Column, days: Column, access: Column, degree: Column, rate:
 
 
 def composite(access: Column, hours: Column, degree: Column, words: Column) -> Column:
-    return 0.3 * F.log(access + 1.0) / 10 + 0.3 / (1 + hours / 168.0) + 0.25 * F.least(degree, F.lit(20)) / 20.0 + 0.15 * F.least(words / 50.0, F.lit(1.0))
+    """Access, recency, degree and length.  Recency is infinite where the last access lies 168 hours ahead of now, as IEEE division has it."""
+    weeks = 1 + hours / 168.0
+    recent = F.when(weeks != 0, 0.3 / weeks).when(weeks == 0, float("inf"))
+    return 0.3 * F.log(access + 1.0) / 10 + recent + 0.25 * F.least(degree, F.lit(20)) / 20.0 + 0.15 * F.least(words / 50.0, F.lit(1.0))
 
 
 def state_key(*parts: Column) -> Column:
