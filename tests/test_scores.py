@@ -24,3 +24,10 @@ def test_composite_score_a_week_ahead(spark, sf, tmp_path):
     con.execute("SET TimeZone='UTC'")
     con.execute(f"CREATE VIEW memory_items AS FROM '{tmp_path}/memory_items.parquet/*.parquet'")
     assert got[one] == math.inf and got == dict(con.execute(all_oracles()["composite_score"]).fetchall())
+
+
+def test_evolved_memory_a_week_ahead(spark, sf, tmp_path):
+    one = table(spark, sf, tmp_path)
+    rows = {r["id"]: (r["score"], r["kept"]) for r in all_queries()["evolved_memory"](spark, str(tmp_path)).collect()}
+    was = {r["id"]: r["score"] for r in all_queries()["evolved_memory"](spark, sf).collect()}
+    assert rows[one] == (math.inf, True) and {k: s for k, (s, _) in rows.items() if k != one} == {k: s for k, s in was.items() if k != one}
