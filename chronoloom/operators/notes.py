@@ -17,8 +17,69 @@ def notes(items: DataFrame) -> DataFrame:
     return items.where("content IS NOT NULL").select("id", T.note_keywords(F.col("content")).alias("keywords"), strength.alias("strength"))
 
 
-#: Least Jaccard scores that are looked for in turn; most notes have their best links at the first.
-LEVELS = (0.6, 0.35, 0.0)
+#: A level of words is worth its pass if it leaves so many times the groups of the level above.
+FINER = 2
+
+
+def _levels(sets: DataFrame, vocabulary: DataFrame) -> list[int]:
+    """Least word numbers of the levels, the finest (every word) first: words rarer than those are left out of a level."""
+    top = vocabulary.agg(F.max("c")).first()[0] or 0
+    counts = [top // 2**i for i in range(1, 12) if top // 2**i > 1]
+    if not counts:
+        return [-1]
+    least = vocabulary.agg(*[F.min(F.when(F.col("c") > c, F.col("k"))).alias(f"k{c}") for c in counts]).first()
+    least = [least[f"k{c}"] for c in counts]
+    groups = sets.agg(*[F.approx_count_distinct(F.xxhash64(_from("sig", k), "z")).alias(f"g{i}") for i, k in enumerate(least)]).first()
+    kept, last = [], 0
+    for i, k in enumerate(least):
+        if groups[i] >= FINER * last:
+            kept, last = [k, *kept], groups[i]
+    return [-1, *kept]
+
+
+def _from(sig: str, least: int) -> Column:
+    return F.filter(sig, lambda k: k >= least)
+
+
+def _best(rows: DataFrame, most: int) -> DataFrame:
+    """g, best: the ``most`` best notes (s, r) of each group as a list (m = -s, r); a note may come twice, its better score counts."""
+    w = Window.partitionBy("g").orderBy(F.desc("s"), "r")
+    few = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * most)
+    once = few.groupBy("g", "r").agg(F.max("s").alias("s"))
+    return once.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("m"), "r"))), 1, most).alias("best"))
+
+
+def _level(groups: DataFrame, above: DataFrame | None, band: int | None, least: int, most: int) -> DataFrame:
+    """g, best of each group (g, sig, z, ids) of a level: its best notes by the words of the level.
+
+    ``above``: sig, z, best of the next coarser level, whose least word is ``band``.  Two groups without a common word
+    below it are as near as the groups above them are, so only those with one are compared, once, at the rarest
+    common word; what doesn't come before the last note of the list from above isn't looked at.
+    """
+    own = groups.select("g", "sig", "z", F.size("sig").alias("n"))
+    if above is None:
+        own = own.withColumn("best", F.array().cast("array<struct<m:double,r:bigint>>"))
+    else:
+        up = above.select(F.col("sig").alias("up"), "z", "best")
+        own = own.withColumn("up", _from("sig", band)).join(up, ["up", "z"], "left").drop("up")
+        own = own.withColumn("best", F.coalesce("best", F.array().cast("array<struct<m:double,r:bigint>>")))
+    full, last = F.size("best") >= most, F.element_at("best", -1)
+    own = own.withColumn("floor", F.when(full, -last["m"]).otherwise(0.0)).withColumn("edge", F.when(full, last["r"]).otherwise(2**63 - 1))
+    need = F.greatest(F.lit(least), F.ceil(F.col("floor") * F.col("z") - 1e-9).cast("int"))
+    below = F.lit(True) if band is None else F.col("w") < band
+    head = F.when(F.col("n") >= need, F.slice("sig", F.lit(1), F.greatest(F.lit(0), F.col("n") - need + 1)))
+    asks = own.select("g", F.col("sig").alias("xs"), F.col("z").alias("xz"), F.col("n").alias("xn"), "floor", "edge", F.posexplode(head).alias("xp", "w")).where(below)
+    has = groups.select(F.col("sig").alias("ys"), F.col("z").alias("yz"), F.size("sig").alias("yn"), "ids", F.posexplode("sig").alias("yp", "w")).where(below)
+    room = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
+    score = lambda common: common / (F.col("xz") + F.col("yz") - common)
+    ahead = lambda s, r: (s > F.col("floor")) | ((s == F.col("floor")) & (r < F.col("edge")))
+    met = asks.join(has, "w").where((room >= least) & ahead(score(room), F.col("ids")[0]))
+    # a generator, so that filters don't work the common words out again
+    met = met.select("g", "w", "xz", "yz", "floor", "edge", "ids", F.explode(F.array(F.array_intersect("xs", "ys"))).alias("both"))
+    met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("w"))).withColumn("s", score(F.size("both")))
+    found = met.where(ahead(F.col("s"), F.col("ids")[0])).select("g", "floor", "edge", "s", F.explode("ids").alias("r")).where(ahead(F.col("s"), F.col("r"))).select("g", "s", "r")
+    kept = own.select("g", F.explode("best").alias("b")).select("g", (-F.col("b.m")).alias("s"), "b.r")
+    return settle(_best(found.unionByName(kept), most))
 
 
 def keyword_links(rows: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
@@ -26,50 +87,37 @@ def keyword_links(rows: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
 
     ``rows``: id, keywords.  Of equal scores the smaller id comes first.  Null and short lists link to nobody.
 
-    Plan: notes with the same keywords are one set with its smallest ids, so copies pair up nowhere.  Sets meet by
-    prefix filtering: words are ordered by rarity, and two sets whose score is at least t share one of the
-    first size - max(least, t size) + 1 words of each.  A set that has its links at one level of t asks no
-    more at the next; at the last level any two sets with ``least`` words in common meet.
+    Plan: notes are numbered in the order of their ids and words by rarity; notes with the same keywords are one set
+    with its smallest numbers, so copies pair up nowhere.  Sets with the same number of words and the same frequent
+    words are one group, and these form levels, from the few groups of the most frequent words down to the sets:
+    sets that share frequent words alone, which are most pairs, are found through their groups' lists, and only
+    those with a rarer word in common are compared, in the join at that word.  What is shuffled are groups by their
+    words and the best notes of each, never pairs.
     """
     own = rows.where("id IS NOT NULL AND keywords IS NOT NULL").select("id", F.array_sort(F.array_distinct("keywords")).alias("ws")).where(F.size("ws") >= least)
-    first = Window.partitionBy("ws").orderBy("id")
-    ranked = own.withColumn("r", F.row_number().over(first))
-    named = ranked.groupBy("ws").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= most + 1, F.col("id")))).alias("ids"))
-    named = settle(named.withColumn("set", F.xxhash64("ws", F.size("ws"))))
+    own = settle(own.orderBy("id").select("id", "ws", F.monotonically_increasing_id().alias("r")))
+    first = Window.partitionBy("ws").orderBy("r")
+    ranked = own.select("ws", "r").withColumn("n", F.row_number().over(first)).where(F.col("n") <= most + 1)
+    named = settle(ranked.groupBy("ws").agg(F.min("r").alias("set"), F.array_sort(F.collect_list("r")).alias("ids")))
     word = named.select("set", F.explode("ws").alias("w"))
-    often = word.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    order = word.join(often, "w").groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda z: z["w"]).alias("ordered"))
-    sets = settle(named.join(order, "set"))
-    left, found = sets.select("set", "n", "ordered"), None
-    for level in LEVELS:
-        need = F.greatest(F.lit(least), F.ceil(F.size("ordered") * level).cast("int"))
-        head = F.explode(F.slice("ordered", F.lit(1), F.size("ordered") - need + 1)).alias("w")
-        asks, has = left.select(F.col("set").alias("x"), F.col("ordered").alias("xs"), head), sets.select(F.col("set").alias("y"), F.col("ordered").alias("ys"), F.col("n").alias("yn"), head)
-        met = asks.join(has.select("y", "w"), "w").where("x != y").select("x", "y").distinct()
-        met = met.join(left.select(F.col("set").alias("x"), F.col("ordered").alias("xs")), "x").join(sets.select(F.col("set").alias("y"), F.col("ordered").alias("ys"), F.col("n").alias("yn")), "y")
-        shared = F.size(F.array_intersect("xs", "ys"))
-        pairs = met.withColumn("shared", shared).where(F.col("shared") >= least)
-        pairs = pairs.withColumn("score", F.col("shared") / (F.size("xs") + F.size("ys") - F.col("shared"))).where(F.col("score") >= level)
-        # of a set's best partners so many that their notes make up what is wanted
-        before = Window.partitionBy("x").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        pairs = pairs.select("x", "y", "score", "yn").withColumn("upto", F.sum("yn").over(before))
-        groups = pairs.groupBy("x", "score", "upto").agg(F.sum("yn").alias("here"))
-        pairs = settle(pairs.join(groups, ["x", "score", "upto"]).where((F.col("upto") - F.col("here")) < most).select("x", "y", "score", "upto"))
-        enough = pairs.groupBy("x").agg(F.max("upto").alias("total")).join(left.select(F.col("set").alias("x"), "n"), "x").where(F.col("total") + F.col("n") - 1 >= most).select("x")
-        if level == LEVELS[-1]:
-            part = pairs
-        else:
-            part = pairs.join(enough, "x", "left_semi")
-            left = settle(left.join(enough.withColumnRenamed("x", "set"), "set", "left_anti"))
-        found = part.select("x", "y", "score") if found is None else found.unionByName(part.select("x", "y", "score"))
-    ids = sets.select(F.col("set").alias("y"), "ids")
-    same = sets.where("n > 1").select(F.col("set").alias("x"), F.col("set").alias("y"), F.lit(1.0).alias("score"))
-    listed = found.unionByName(same).join(ids, "y").select("x", F.explode("ids").alias("b"), "score")
-    best = Window.partitionBy("x").orderBy(F.desc("score"), "b")
-    listed = listed.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most + 1).select(F.col("x").alias("set"), "b", "score")
-    members = own.join(sets.select("ws", "set"), "ws").select(F.col("id").alias("a"), "set")
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return members.join(listed, "set").where("a != b").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("a", "b", "score")
+    vocabulary = settle(word.groupBy("w").agg(F.count(F.lit(1)).alias("c")).orderBy("c", "w").select("w", "c", F.monotonically_increasing_id().alias("k")))
+    coded = word.join(vocabulary.select("w", "k"), "w").groupBy("set").agg(F.array_sort(F.collect_list("k")).alias("sig"))
+    sets = settle(named.select("set", "ids").join(coded, "set").select("set", "ids", "sig", F.size("sig").alias("z")))
+    levels = _levels(sets, vocabulary)
+    groups = [sets.select(F.col("set").alias("g"), "sig", "z", "ids")]
+    for k in levels[1:]:
+        merged = groups[-1].select("g", _from("sig", k).alias("sig"), "z", "ids").groupBy("sig", "z")
+        groups.append(settle(merged.agg(F.min("g").alias("g"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most + 1).alias("ids"))))
+    found = None
+    for i in reversed(range(len(levels))):
+        above = found and groups[i + 1].select("g", "sig", "z").join(found, "g").select("sig", "z", "best")
+        found = _level(groups[i], above, levels[i + 1] if found else None, least, most + 1)
+    best = found.withColumnRenamed("g", "set")
+    members = own.select("ws", "r").join(named.select("ws", "set"), "ws").select("r", "set")
+    links = members.withColumnRenamed("r", "x").join(best, "set").select("x", F.slice(F.filter("best", lambda b: b["r"] != F.col("x")), 1, most).alias("best"))
+    links = links.select("x", F.explode("best").alias("z")).select("x", F.col("z.r").alias("y"), (-F.col("z.m")).alias("score"))
+    links = links.join(own.select(F.col("r").alias("y"), F.col("id").alias("b")), "y").select("x", "b", "score")
+    return links.join(own.select(F.col("r").alias("x"), F.col("id").alias("a")), "x").select("a", "b", "score").where("a != b")
 
 
 def grow(rows: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
