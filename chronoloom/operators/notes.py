@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,12 +130,21 @@ def grow(rows: DataFrame, links: DataFrame, most: int = 3) -> DataFrame:
     return rows.join(new, "id", "left").select("id", F.when(F.col("more").isNull(), F.col("keywords")).otherwise(F.array_union("keywords", F.slice(F.array_except("more", "keywords"), 1, most))).alias("keywords"))
 
 
-def search(rows: DataFrame, links: DataFrame, query: str, k: int) -> DataFrame:
-    """id, score: notes with a query keyword 1, their links 0.5, and those' links 0.25."""
+def search(rows: DataFrame, links: DataFrame | Callable[[], DataFrame], query: str, k: int) -> DataFrame:
+    """id, score: notes with a query keyword 1, their links 0.5, and those' links 0.25.
+
+    ``links``: a, b, or a function that gives them; where k notes have a keyword, no link can come before one of
+    them, and the function isn't called.
+    """
     asked = [w for w in query.lower().split() if len(w) > 3 and w not in T.NOTE_STOP_WORDS]
-    seeds = rows.where(F.arrays_overlap("keywords", T.array_of(asked))) if asked else rows.limit(0)
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    return G.link_search(seeds.select("id"), both).orderBy(F.desc("score"), "id").limit(k)
+    seeds = (rows.where(F.arrays_overlap("keywords", T.array_of(asked))) if asked else rows.limit(0)).where("id IS NOT NULL").select("id")
+    if callable(links):
+        first = settle(seeds.distinct().orderBy("id").limit(k))
+        if first.count() >= k:
+            return first.select("id", F.lit(1.0).alias("score")).orderBy("id")
+        links = settle(links())
+    both = links.select("a", "b").union(links.select("b", "a"))
+    return G.link_search(seeds, both).orderBy(F.desc("score"), "id").limit(k)
 
 
 def retained(rows: DataFrame, last: DataFrame, now: Column, least: float = 0.2) -> DataFrame:

@@ -462,7 +462,7 @@ def _(spark, d):
 @query("note_search")
 def _(spark, d):
     N, rows = _notes(spark, d)
-    return N.search(rows, N.keyword_links(rows), "review the ranking function", 20)
+    return N.search(rows, lambda: N.keyword_links(rows), "review the ranking function", 20)
 
 
 @query("note_retention", f"WITH {MEM} SELECT id, round(exp(-floor(greatest(epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT, 0) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)), 6) AS retention FROM mem WHERE content IS NOT NULL AND exp(-floor(greatest(epoch(TIMESTAMP '2024-02-01')::BIGINT - epoch(last_accessed)::BIGINT, 0) / 3600e0) / (least(10e0, 1e0 + 0.5e0 * coalesce(access_count, 0)) * 24e0)) >= 0.000001")

@@ -43,3 +43,15 @@ def test_growth_shuffles_no_pairs(spark):
     df = spark.createDataFrame(rows, "id string, keywords array<string>")
     got, size = shuffled(spark, lambda: {r["id"]: r["keywords"] for r in N.grow(df, N.keyword_links(df)).collect()})
     assert len(got) == 1500 and got["n0000"][-2:] == ["a1", "b1"] and size < 4_000_000, size
+
+
+def test_search_asks_for_links_only_where_they_count(spark):
+    rows = [(f"n{i:02d}", ["review" if i % 10 == 3 else "other", "paper", f"x{i % 7}", f"y{i % 5}"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, keywords array<string>")
+    asked = []
+    links = lambda: asked.append(1) or N.keyword_links(df)
+    run = lambda l, k: [tuple(r) for r in N.search(df, l, "review the paper?", k).collect()]
+    whole = N.keyword_links(df)
+    assert run(links, 4) == run(whole, 4) == [(f"n{i:02d}", 1.0) for i in (3, 13, 23, 33)] and not asked
+    assert run(links, 30) == run(whole, 30) and asked == [1]
+    assert {s for _, s in run(links, 40)} >= {1.0, 0.5}
